@@ -1,12 +1,18 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table: union-find where it is small, alternating stars where it is not."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.plans.workspace import Workspace
 
+#: Edges that one task may join; beyond it, the table is contracted by stars.
+MOST_EDGES = 1 << 18
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: u > v, both ways of looking at an edge are made here. Large star: every larger neighbour of a node goes to the
@@ -24,13 +30,37 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return ordered.distinct()
 
 
-def components(edges: DataFrame, ws: Workspace, rounds: int = 60) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = schema or batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, schema.types[0]), pa.array([root(x) for x in nodes], schema.types[0])], ["node", "component"])
+
+
+def components(edges: DataFrame, ws: Workspace, rounds: int = 60, most_edges: int = MOST_EDGES) -> DataFrame:
     """(node, component): the least node that each node of an edge reaches; edges are columns a, b of any ordered type.
 
-    Each round is two joins of narrow tables and is written, so that lineage stays short. Nodes without edges have no row.
+    A table of at most most_edges edges is one task's work. Beyond it, each round is two joins of narrow tables and is
+    written, so that lineage stays short. Nodes without edges have no row.
     Empty edges give an empty table. Nulls and loops are left out.
     """
     now = ws.save(edges.filter("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.count() <= most_edges:
+        kind = now.schema["u"].dataType.simpleString()
+        return now.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}")
     mark = None
     for _ in range(rounds):
         after = ws.save(_star(_star(now, True), False), "stars")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.llm import bloom
 from pagewright.llm.components import components
 from pagewright.llm.kernels import encode, mix, ngrams, word_hashes
 from pagewright.plans.workspace import Workspace
@@ -78,18 +79,24 @@ def _features(width: int):
     return run
 
 
-def _text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text; within a partition each distinct text goes out once, so that copies do not meet in one task."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        texts = encode(batch.column(0).to_pylist())
-        keys = [xxhash.xxh3_128_digest(words[bounds[d] : bounds[d + 1]].tobytes()) for _, words, bounds in word_hashes(texts, True) for d in range(len(bounds) - 1)]
-        new = []
-        for key in keys:
-            new.append(key not in seen)
-            seen.add(key)
-        mask = pa.array(new, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(mask), batch.column(0).filter(mask)], ["key", "text"])
+def _wanted_texts(wanted):
+    """key, text of the texts whose key may be wanted; within a task each goes out once, so that copies do not meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = bloom.Bloom(*wanted.value)
+        seen: set[bytes] = set()
+        for batch in batches:
+            texts = encode(batch.column(0).to_pylist())
+            keys = [xxhash.xxh3_128_digest(words[bounds[d] : bounds[d + 1]].tobytes()) for _, words, bounds in word_hashes(texts, True) for d in range(len(bounds) - 1)]
+            short = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64)
+            new = keep.has(short)
+            for i in np.flatnonzero(new).tolist():
+                new[i] = keys[i] not in seen
+                seen.add(keys[i])
+            mask = pa.array(new, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(mask), batch.column(0).filter(mask)], ["key", "text"])
+
+    return run
 
 
 def _neighbours(limit: float):
@@ -225,8 +232,10 @@ def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, percent: int
     features = ws.save(docs.select("doc_id", "text").mapInArrow(_features(width), "doc_id bigint, key binary, n_shingles bigint, signature binary"), "features")
     nodes = features.groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.max("signature").alias("signature"))
     found = ws.save(candidates(nodes, ws, percent / 100), "candidates")
-    used = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    keyed = docs.select("text").mapInArrow(_text_key, "key binary, text string")
+    used = ws.save(found.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "used")
+    # the filter is bounded in size and only spares the shuffle of texts without candidates; the join after it is exact
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(used.select(F.xxhash64("key").alias("short")), used.count()))
+    keyed = docs.select("text").mapInArrow(_wanted_texts(wanted), "key binary, text string")
     texts = ws.save(keyed.groupBy("key").agg(F.min("text").alias("text")).join(used, "key", "left_semi"), "texts")
     ends = found.select(F.col("a").alias("x"), "a", "b", "votes", "depth").unionByName(found.select(F.col("b").alias("x"), "a", "b", "votes", "depth"))
     order = Window.partitionBy("x").orderBy(F.desc("votes"), F.desc("depth"), "a", "b")
