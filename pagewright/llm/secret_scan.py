@@ -170,6 +170,15 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.transform(F.filter(found, lambda m: m["counted"] >= rule.least), lambda m: F.struct(m["begin"].alias("begin"), m["end"].alias("end")))
 
 
+def _of_rule(text: Column, rank: int, rule: Rule, base: bool, indexed: bool) -> Column:
+    """A rule's spans in a candidate text (in any text if the rule is not indexed), none elsewhere."""
+    maybe = F.rlike(text, F.lit(rule.pattern))
+    if indexed:
+        maybe = F.array_contains("__kinds", rule.kind) & maybe
+    own = F.when(maybe, spans(text, rule)).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+    return F.transform(own, lambda s: F.struct(s["begin"].alias("begin"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end"), F.lit(base).alias("base")))
+
+
 def scan(docs: DataFrame, ws: Workspace, base: list[Rule] | None = None, more: list[Rule] | None = None) -> DataFrame:
     """All columns of docs, and `found`: array of (begin, rank, kind, end, base) in order of place, then of the rules' list.
 
@@ -186,13 +195,7 @@ def scan(docs: DataFrame, ws: Workspace, base: list[Rule] | None = None, more: l
     hits = ws.save(candidates(postings, indexed).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds")), "candidates")
     joined = marked.join(hits, "__key", "left")
     text = F.col("__text")
-    found = []
-    for rank, (rule, is_base) in enumerate(rules):
-        none = F.array().cast("array<struct<begin:int,end:int>>")
-        own = spans(text, rule)
-        own = F.when(F.array_contains("__kinds", rule.kind) & F.rlike(text, F.lit(rule.pattern)), own).otherwise(none) if rule.kind in indexed else F.when(F.rlike(text, F.lit(rule.pattern)), own).otherwise(none)
-        own = F.coalesce(own, none)
-        found.append(F.transform(own, lambda s, rank=rank, rule=rule, is_base=is_base: F.struct(s["begin"].alias("begin"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end"), F.lit(is_base).alias("base"))))
+    found = [_of_rule(text, rank, rule, is_base, rule.kind in indexed) for rank, (rule, is_base) in enumerate(rules)]
     return joined.select(*docs.columns, F.sort_array(F.concat(*found)).alias("found"))
 
 

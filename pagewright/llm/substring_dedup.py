@@ -182,7 +182,7 @@ def repeated_blocks(docs: DataFrame, ws: Workspace, window: int) -> DataFrame:
     mixed = each.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("anchor")
     single = ws.save(each.join(mixed, "anchor", "left_semi").select("anchor", "block", "windows", "low", "n").mapInArrow(_unpack, "anchor bigint, block bigint, hash bigint, nth int, n bigint"), "windows")
     again = single.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "hash")
-    parts = single.filter("n = 1").join(again, ["anchor", "hash"], "left_semi").groupBy("anchor", "block").agg(F.sum(F.shiftleft(F.lit(1).cast("bigint"), F.col("nth"))).alias("mask"))
+    parts = single.filter("n = 1").join(again, ["anchor", "hash"], "left_semi").groupBy("anchor", "block").agg(F.sum(F.expr("shiftleft(1L, nth)")).alias("mask"))
     whole = each.filter("n > 1").select("anchor", "block", (F.expr("shiftleft(1L, cast(octet_length(windows) / 8 as int))") - 1).alias("mask"))
     masks = ws.save(whole.unionByName(parts), "masks")
     spans = seen.select("anchor", "block", "key", "place", "low").join(masks, ["anchor", "block"])

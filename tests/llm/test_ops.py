@@ -135,8 +135,9 @@ def test_mixing(spark, docs, none):
         assert x["source_size"] == sizes[x["source"]] and math.isclose(x["target"], target[x["source"]], rel_tol=1e-9)
         assert 0 <= x["copies"] <= 3 and x["taken"] == x["copies"] * x["size"]
         taken[x["source"]] += x["taken"]
-    for s in order:
-        assert abs(taken[s] - target[s]) <= max(0.02 * target[s], 5)
+    for s in order:  # a document that is most of its source can only be taken whole or not at all
+        largest = max(len(words(r[1])) for r in rows() if r[3] == s)
+        assert abs(taken[s] - target[s]) <= (max(0.02 * target[s], 5) if largest < 0.5 * target[s] else largest / 2)
     again = mixing.mix(docs.repartition(5), Workspace(spark, "t")).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
     assert mixing.mix(none, Workspace(spark, "t")).count() == 0
@@ -389,7 +390,7 @@ def test_binomial_tail(spark):
     for n, k, p in ((50, 0, 0.05), (50, 3, 0.05), (3000, 7, 0.005), (40, 39, 0.3)):
         got = spark.range(1).select(quality.log_binomial_tail(F.lit(n), F.lit(k).cast("bigint"), p)).first()[0]
         want = math.log(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
-        assert math.isclose(got, want, rel_tol=1e-9)
+        assert math.isclose(got, want, rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_calibrated_cutoffs_reject_junk_only(spark):
