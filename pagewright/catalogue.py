@@ -1,10 +1,441 @@
-"""Every registered query of the archive operators, with the DuckDB SQL it must agree with."""
+"""Every registered query of the archive operators, with the DuckDB SQL it must agree with.
+
+Queries over tables have an oracle that computes the same from the same tables; those over inline cases have the rows that the
+rules give for them, worked out by hand.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pagewright import duck as d
+from pagewright.functions import page as p
+from pagewright.functions import text as tx
+from pagewright.functions import url as u
+from pagewright.functions import viewers as v
+from pagewright.operators import crawl, derive, scan
+from pagewright.plans.workspace import Workspace
+from pagewright.sources import archive
+from pagewright.sources.tables import table
+from pagewright.streaming import pages as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _literal(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).upper()
+    if isinstance(x, list):
+        return "[" + ", ".join(map(_literal, x)) + "]"
+    if isinstance(x, (int, float)):
+        return repr(x)
+    return "'" + x.replace("'", "''") + "'"
+
+
+def values(columns: str, *data: tuple) -> str:
+    """SQL of literal rows."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in data)}) t({columns})"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages", "page_id", "url", "html")
+
+
+_OWN = (u.host(F.col("url")), F.concat(u.scheme(F.col("url")), F.lit("://"), u.host(F.col("url")), F.lit("/")), F.lit("/"))
+
+
+def _derived(pages: DataFrame) -> DataFrame:
+    return derive.derive(pages, _OWN)
+
+
+_MANIFEST = f"""WITH n AS (SELECT page_id, html, {d.normal('url')} AS url FROM pages),
+ m AS (SELECT page_id, html, url, {d.page_stem('url')} AS file_stem FROM n),
+ t AS (SELECT *, coalesce({d.title('html')}, file_stem) AS title FROM m),
+ b AS (SELECT *, '# ' || title || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {d.markdown('html')} || chr(10) AS md, {d.links('html', 'url')} AS links FROM t)
+ SELECT page_id, url, title, file_stem, length({d.plain('md')})::BIGINT AS text_chars, len(links)::BIGINT AS links_found FROM b"""
+
+
+@query(_MANIFEST)
+def pages_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(_pages(spark, sf_dir)).select("page_id", F.col("norm_url").alias("url"), "title", "file_stem", "text_chars", F.size("links").cast("bigint").alias("links_found"))
+
+
+_MORE = "<h2>Part</h2><table><tr><td>1</td><td>2</td></tr></table><form><p>no</p></form><iframe>no</iframe><!--EndOf Main Content--><p>out</p>"
+
+
+def _augmented(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("html", F.concat(F.lit("<p>before</p><!--Main Content-->"), "html", F.lit(_MORE)))
+
+
+_AUG = "'<p>before</p><!--Main Content-->' || html || " + _literal(_MORE)
+_MAIN = "CASE WHEN position('<!--Main Content-->' IN h) > 0 AND position('<!--EndOf Main Content-->' IN substr(h, position('<!--Main Content-->' IN h) + 19)) > 0 THEN split_part(substr(h, position('<!--Main Content-->' IN h) + 19), '<!--EndOf Main Content-->', 1) ELSE h END"
+
+
+@query(f"WITH a AS (SELECT page_id, {_AUG} AS h FROM pages), c AS (SELECT page_id, {_MAIN} AS c FROM a) SELECT page_id, {d.markdown('c')} AS body FROM c")
+def markdown_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _augmented(_pages(spark, sf_dir)).select("page_id", p.markdown_body(p.main_content(F.col("html"))).alias("body"))
+
+
+@query(f"WITH a AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN {_AUG} ELSE '<!--Main Content--><!--EndOf Main Content-->' || html END AS h FROM pages) SELECT page_id, md5({_MAIN}) AS content_md5, length({_MAIN})::BIGINT AS n FROM a")
+def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    kind = F.col("page_id") % 3
+    html = F.when(kind == 0, F.col("html")).when(kind == 1, F.concat(F.lit("<p>before</p><!--Main Content-->"), "html", F.lit(_MORE))).otherwise(F.concat(F.lit("<!--Main Content--><!--EndOf Main Content-->"), "html"))
+    content = p.main_content(html)
+    return pages.select("page_id", F.md5(content).alias("content_md5"), F.length(content).cast("bigint").alias("n"))
+
+
+_TITLES = [("<h1>A &amp;lt; B</h1>", "A < B"), ("<h1><b>В</b>ъ</h1>", "В ъ"), ("<h1> </h1><title>T</title>", "T"), ("<p>none</p>", None), ("<!-- <h1>no</h1> --><h1>yes</h1>", "yes"), ("<title>first</title><h1>head</h1>", "head")]
+
+
+@query(f"SELECT page_id, {d.title('html')} AS title FROM pages UNION ALL " + values("page_id, title", *((-1 - i, t) for i, (_, t) in enumerate(_TITLES))))
+def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame([(-1 - i, h) for i, (h, _) in enumerate(_TITLES)], "page_id bigint, html string")
+    return _pages(spark, sf_dir).select("page_id", "html").unionByName(cases).select("page_id", p.title(F.col("html")).alias("title"))
+
+
+@query(_MANIFEST.replace("SELECT page_id, url, title, file_stem, length", f"SELECT page_id, CASE WHEN length({d.plain('md')}) > 40 THEN left({d.plain('md')}, 40) || '…' ELSE {d.plain('md')} END AS sample, length").replace(", len(links)::BIGINT AS links_found FROM b", " FROM b"))
+def plain_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.derive(_pages(spark, sf_dir), _OWN, sample_chars=40).select("page_id", "sample", "text_chars")
+
+
+_EDGES = f"SELECT url AS src, i::INTEGER - 1 AS pos, links[i] AS dst FROM (SELECT url, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT url, {d.links('html', 'url')} AS links FROM (SELECT html, {d.normal('url')} AS url FROM pages)))"
+
+
+def _edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.edges(_derived(_pages(spark, sf_dir)))
+
+
+@query(_EDGES)
+def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edge_rows(spark, sf_dir)
+
+
+@query(f"SELECT page_id, len({d.links('html', 'url')})::BIGINT AS n FROM (SELECT page_id, html, {d.normal('url')} AS url FROM pages)")
+def link_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(_pages(spark, sf_dir)).select("page_id", F.size("links").cast("bigint").alias("n"))
+
+
+@query(f"SELECT dst, count(*) AS n, count(DISTINCT src) AS pages FROM ({_EDGES}) GROUP BY dst")
+def link_indegree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edge_rows(spark, sf_dir).groupBy("dst").agg(F.count("*").alias("n"), F.count_distinct("src").alias("pages"))
+
+
+_NORMAL = [
+    ("http://s.test/", "https://s.test:8080/x#f", "http://s.test/x"), ("http://s.test/", "http://s.test/index.php?a=1", "http://s.test/index.php"), ("http://s.test/", "http://s.test/index.php?id=7&junk=2", "http://s.test/index.php?id=7"), ("http://s.test/", "http://s.test/index.php?id=%20", "http://s.test/index.php"),
+    ("http://s.test/", "http://s.test/a.PDF", None), ("http://s.test/", "ftp://s.test/", None), ("http://s.test/", "http://other.test/", None), ("http://s.test/sec/", "http://s.test/sec", "http://s.test/sec"), ("http://s.test/sec/", "http://s.test/sec/x", "http://s.test/sec/x"),
+    ("http://s.test/sec/", "http://s.test/section", None), ("http://s.test/", "http://S.Test", "http://s.test/"), ("http://s.test/", "http://s.test/p?q=1&b=", "http://s.test/p?q=1&b="),
+]
+
+
+@query(f"SELECT url, {d.normal('url')} AS normal FROM pages UNION ALL " + values("url, normal", *((x, n) for _, x, n in _NORMAL)))
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "pages", "url").select("url", u.normalize(F.col("url"), *_OWN).alias("normal"))
+    for start in dict.fromkeys(s for s, *_ in _NORMAL):
+        cases = spark.createDataFrame([(x,) for s, x, _ in _NORMAL if s == start], "url string")
+        out = out.unionByName(cases.select("url", u.normalize_in(F.col("url"), u.Scope.of(start)).alias("normal")))
+    return out
+
+
+_RESOLVE = [
+    ("http://h.test/a/b?x=1#f", "https://O.test/p", "https://o.test/p"), ("http://h.test/a/b?x=1#f", "//o.test/p", "http://o.test/p"), ("http://h.test/a/b?x=1#f", "/r", "http://h.test/r"), ("http://h.test/a/b?x=1#f", "?y", "http://h.test/a/b?y"), ("http://h.test/a/b?x=1#f", "", "http://h.test/a/b?x=1"),
+    ("http://h.test/a/b?x=1#f", "c", "http://h.test/a/c"), ("http://h.test/a/b?x=1#f", "../c/./d", "http://h.test/c/d"), ("http://h.test/a/b?x=1#f", "#g", "http://h.test/a/b?x=1#g"), ("http://h.test/a/b?x=1#f", "ё", "http://h.test/a/%D1%91"), ("http://h.test/a/b", "mailto:x@y", None),
+    ("http://h.test:80/a/", "..", "http://h.test/"), ("http://h.test/a/b", " x y ", "http://h.test/a/x%20y"), ("http://h.test/a/b/c", "../../../../d/", "http://h.test/d/"), ("https://h.test:443", "x", "https://h.test/x"),
+]
+
+
+@query(values("base, href, url", *_RESOLVE))
+def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame([r[:2] for r in _RESOLVE], "base string, href string")
+    return cases.select("base", "href", u.resolve(F.col("base"), F.col("href")).alias("url"))
+
+
+_STEMS = [("http://s.test/", "index"), ("http://s.test/a/b", "a.b"), ("http://s.test/c.html?x=1", "c.html__q_x_1"), ("http://s.test/index.php?id=7", "7"), ("http://s.test/a/../b..c", "a.b.c"), ("http://s.test/%%%", "page"), ("http://s.test/p?id=a+b%2Fc", "a_b_c")]
+
+
+@query(f"SELECT url, {d.page_stem('url')} AS stem FROM pages UNION ALL " + values("url, stem", *_STEMS))
+def file_stem_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages", "url").unionByName(spark.createDataFrame([(x,) for x, _ in _STEMS], "url string"))
+    return rows.select("url", u.page_stem(F.col("url")).alias("stem"))
+
+
+_SCAN_STEMS = [("https://elib.rgo.ru/safe-view/123/0/5.jpg", "elib.rgo.ru_safe-view_123_0_5.jpg"), ("https://elib.rgo.ru/safe-view/123456789/212006/1/MDAyX1IucGRmLzI0OA==", "elib.rgo.ru_safe-view_123456789_212006_1_MDAyX1IucGRmLzI0OA"), ("http://h.test/" + "a" * 200, "a" * 180)]
+
+
+@query(f"SELECT url, {d.scan_stem('url')} AS stem FROM pages UNION ALL " + values("url, stem", *_SCAN_STEMS))
+def file_stem_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages", "url").unionByName(spark.createDataFrame([(x,) for x, _ in _SCAN_STEMS], "url string"))
+    return rows.select("url", u.scan_stem(F.col("url")).alias("stem"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '/de/[0-9]+') THEN '/de/[0-9]+' WHEN regexp_matches(url, 'page=') THEN 'page=' END AS pattern FROM pages")
+def exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", u.excluded_by(F.col("url"), ("/de/[0-9]+", "page=")).alias("pattern"))
+
+
+_STATUS = F.when(F.col("page_id") % 7 == 0, 403).when(F.col("page_id") % 11 == 0, 500).when(F.col("page_id") % 13 == 0, F.lit(None).cast("int")).otherwise(200)
+_STATUS_SQL = "CASE WHEN page_id % 7 = 0 THEN 403 WHEN page_id % 11 = 0 THEN 500 WHEN page_id % 13 = 0 THEN NULL ELSE 200 END"
+_OUTCOME_SQL = "CASE WHEN http BETWEEN 200 AND 299 THEN 'downloaded' WHEN http IN (403, 404) THEN 'skipped' ELSE 'failed' END"
+
+
+@query(f"SELECT page_id, {_OUTCOME_SQL} AS status, CASE WHEN http IS NULL THEN 'request failed: ' || url WHEN http NOT BETWEEN 200 AND 299 THEN 'HTTP ' || http || ' for ' || url END AS reason FROM (SELECT *, {_STATUS_SQL} AS http FROM pages)")
+def status_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages", "page_id", "url").withColumn("http", _STATUS)
+    return rows.select("page_id", crawl.outcome(F.col("http"), (403, 404)).alias("status"), crawl.reason(F.col("url"), F.col("http"), F.lit(None).cast("string")).alias("reason"))
+
+
+_SITE = [
+    ("http://s.test/", 200, ["/a.html", "/b.html", "/img.png", "mailto:x@y", "http://other.test/x", "#top"]), ("http://s.test/a.html", 200, ["/b.html", "/c.html?x=1#frag", "/index.php?id=7&junk=2", "/"]), ("http://s.test/b.html", 200, ["/private/p.html", "/gone.html"]), ("http://s.test/c.html?x=1", 200, ["/a.html"]),
+    ("http://s.test/index.php?id=7", 200, ["/d.html"]), ("http://s.test/gone.html", 403, []), ("http://s.test/d.html", 500, []),
+]
+_SCOPE = u.Scope.of("http://s.test/")
+
+
+def _site(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The seed state, the responses and the links of a small site."""
+    rows = spark.createDataFrame([(x, s, "<body>" + "".join(f'<a href="{h}">x</a>' for h in hs)) for x, s, hs in _SITE], "url string, status int, html string")
+    scope = tuple(F.lit(x) for x in (_SCOPE.host, _SCOPE.root, _SCOPE.prefix))
+    links = rows.filter("status = 200").select(F.col("url").alias("src"), F.posexplode(p.links(F.col("html"), F.col("url"), scope, ("/private/",))).alias("pos", "dst"))
+    return crawl.seed_state(spark, _SCOPE, "http://s.test/"), rows.select("url", "status", F.lit(None).cast("string").alias("error")), links
+
+
+_URLS = ["http://s.test/", "http://s.test/a.html", "http://s.test/b.html", "http://s.test/c.html?x=1", "http://s.test/index.php?id=7", "http://s.test/gone.html", "http://s.test/d.html"]
+_FULL = [(x, "downloaded", None, i) for i, x in enumerate(_URLS[:5])] + [(_URLS[5], "skipped", "HTTP 403 for " + _URLS[5], 5), (_URLS[6], "failed", "HTTP 500 for " + _URLS[6], 6)]
+_STATE = "url, status, reason, enqueue_pos"
+
+
+@query(values(_STATE, *_FULL))
+def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.crawl(*_site(spark), Workspace(spark, "crawl"))
+
+
+@query(values("run, " + _STATE, *((1, x, "downloaded" if i < 2 else "queued", None, i) for i, x in enumerate(_URLS[:5])), *((2, *r) for r in _FULL)))
+def crawl_resume_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, responses, links = _site(spark)
+    first = crawl.crawl(state, responses, links, Workspace(spark, "crawl"), limit=2)
+    return first.withColumn("run", F.lit(1)).unionByName(crawl.crawl(first, responses, links, Workspace(spark, "crawl")).withColumn("run", F.lit(2)))
+
+
+@query(values(_STATE, *_FULL[:6], (_URLS[6], "queued", None, 0)))
+def crawl_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.retry(crawl.crawl(*_site(spark), Workspace(spark, "crawl")))
+
+
+@query(f"SELECT url, {d.host('url')} AS host FROM pages WHERE {d.host('url')} <> 'blog.tionsh.example.com'")
+def state_scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.check_scope(table(spark, sf_dir, "pages", "url"), "blog.tionsh.example.com")
+
+
+@query(f"""SELECT *, format('progress: {{}}/{{}} frontier ({{:.2f}}%), queue={{}}, seen={{}}, failed={{}}, skipped={{}}', downloaded, frontier_total, frontier_percent, queued, seen, failed, skipped) AS line FROM (
+ SELECT *, CASE WHEN frontier_total = 0 THEN 100.0 ELSE downloaded * 100.0::DOUBLE / frontier_total END AS frontier_percent, NULL::VARCHAR AS last_url FROM (SELECT *, greatest(seen, downloaded + queued) AS frontier_total FROM (
+ SELECT count(*) FILTER (status = 'downloaded') AS downloaded, 0::BIGINT AS queued, count(*) AS seen, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM (SELECT {_OUTCOME_SQL} AS status FROM (SELECT {_STATUS_SQL} AS http FROM pages)))))""")
+def progress_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.progress(table(spark, sf_dir, "pages", "page_id").select(crawl.outcome(_STATUS, (403, 404)).alias("status")))
+
+
+@query("SELECT page_id, n, n % 25 = 0 AS checkpoint, TRUE AS every_one, FALSE AS never FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages)")
+def checkpoint_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages", "page_id").withColumn("n", F.row_number().over(Window.orderBy("page_id")).cast("bigint"))
+    return rows.select("page_id", "n", crawl.due(F.col("n"), 25).alias("checkpoint"), crawl.due(F.col("n"), 1).alias("every_one"), crawl.due(F.col("n"), 0, always_below_two=False).alias("never"))
+
+
+@query(f"SELECT url, file_stem FROM (SELECT url, {d.page_stem('url')} AS file_stem FROM pages) WHERE file_stem IN (SELECT {d.page_stem('url')} FROM pages WHERE page_id % 3 = 0)")
+def already_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "pages", "page_id", "url").withColumn("file_stem", u.page_stem(F.col("url")))
+    artefacts = urls.filter("page_id % 3 = 0").select("file_stem", F.explode(F.array(*map(F.lit, ("raw", "content_html", "markdown")))).alias("kind"))
+    return crawl.already_saved(urls, artefacts).select("url", "file_stem")
+
+
+_BODIES = [("CFF0E8E2E5F2", "text/html; charset=windows-1251", "windows-1251", "Привет"), ("CFF0E8E2E5F2", None, "windows-1251", "Привет"), ("D09F", None, "UTF-8", "П"), ("D09F", "text/html; charset='UTF-8'; x", "UTF-8", "П"), ("3C6D65746120636861727365743D6B6F69382D723EF0", None, "KOI8-R", "<meta charset=koi8-r>П"), ("D09F", "text/html; charset=no-such", "UTF-8", "П"), ("41FF", "text/html; charset=utf-8", "UTF-8", "A�")]
+
+
+@query(values("body, charset, text", *((b, c, t) for b, _, c, t in _BODIES)))
+def charset_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for key, value in p.SESSION.items():
+        spark.conf.set(key, value)
+    rows = spark.createDataFrame([r[:2] for r in _BODIES], "body string, content_type string")
+    raw = F.unhex("body")
+    return rows.select("body", p.charset(raw, F.col("content_type")).alias("charset"), p.decoded(raw, F.col("content_type")).alias("text"))
+
+
+_REFS = [("&amp;lt;", "&lt;"), ("a&nbsp;b", "a b"), ("&#1071;&#x42F;&eacute;&amp", "ЯЯé&amp"), ("&copy; &middot; &quot;", '© · "'), ("&unknown; &", "&unknown; &"), (None, None)]
+
+
+@query(values("text, decoded", *_REFS) + f" UNION ALL SELECT html, {d.entities('html')} FROM pages")
+def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x, _ in _REFS], "text string").unionByName(table(spark, sf_dir, "pages", "html").withColumnRenamed("html", "text"))
+    return rows.select("text", p.all_entities(F.col("text")).alias("decoded"))
+
+
+@query(f"SELECT doc_id, md5({d.clean_ws('text')}) AS clean_md5, length({d.clean_ws('text')})::BIGINT AS n FROM documents")
+def clean_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = tx.clean_ws(F.col("text"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(clean).alias("clean_md5"), F.length(clean).cast("bigint").alias("n"))
+
+
+_SPACED = [("с л о в о", "слово"), ("и с т и н а", "и стина"), ("р а д", "р а д"), ("X и Y", "X и Y"), ("к ъ  с л о в у", "къ слову"), ("с л о в о нормальное", "слово нормальное"), ("а б в  где", "а б в  где"), ("и́ с т и н а", "и́стина"), ("О О О О О", "О О О О О"), ("", ""), (None, None)]
+
+
+@query(values("text, repaired", *_SPACED))
+def derazryadka_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x, _ in _SPACED], "text string").select("text", tx.despace(F.col("text")).alias("repaired"))
+
+
+@query()
+def derazryadka_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(tx.despace(F.col("text"))).alias("repaired_md5"), (tx.despace(F.col("text")) != F.col("text")).alias("changed"))
+
+
+_IMAGES = '<img src="/i/1.jpg" data-src="/i/2.png" srcset="s.jpg 1w, b.jpg 9w"><a href="/view/3">x</a><a href="/plain">y</a><source src="v.webp"><meta property="og:image" content="/og.jp2"><img src="data:image/png;base64,AA"><img src=" /i/1.jpg ">'
+
+
+@query(f"SELECT page_id, i::INTEGER - 1 AS pos, list[i] AS url FROM (SELECT page_id, list, unnest(range(1, 8)) AS i FROM (SELECT page_id, list_transform(['i/1.jpg', 'i/2.png', 'd/b.jpg', 'view/3', 'd/v.webp', 'og.jp2', 'i/9.bmp'], lambda x: {d.root('url')} || '/' || x) AS list FROM pages))")
+def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    base = F.concat(u.scheme(F.col("url")), F.lit("://"), u.authority(F.col("url")), F.lit("/d/x"))
+    found = p.image_links(F.lit(_IMAGES + '<meta name="twitter:image" content="/i/9.bmp">'), base)
+    return pages.select("page_id", F.posexplode(found).alias("pos", "url"))
+
+
+_SRCSETS = [("a.jpg 100w, b.jpg 800w, c.jpg 400w", "b.jpg"), ("a.jpg, b.jpg", "a.jpg"), ("a.jpg 1x, b.jpg 2x", "a.jpg"), ("a.jpg 100w,", None), ("", None), ("a 5w, b 5w", "a"), (None, None)]
+
+
+@query(values("srcset, best", *_SRCSETS))
+def srcset_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x, _ in _SRCSETS], "srcset string").select("srcset", p.best_of_srcset(F.col("srcset")).alias("best"))
+
+
+_PLAYER_PAGE = r'{"iipServerURL":"https:\/\/c.test\/iip.fcgi","imageDir":"\/var\/ABC\/66\/","objectData":"https:\/\/c.test\/ABC.json"} {"iipServerURL" : "x", "imageDir": "y" ,"objectData":"https:\/\/c.test\/ABC.json"} {"iipServerURL":"q","imageDir":"r","objectData":"sA"}'
+
+
+@query(values("player, pos, url", (0, 0, "https://c.test/iip.fcgi?IIIF=/var/ABC/66/1.tiff/info.json"), (0, 1, "https://c.test/iip.fcgi?IIIF=/var/ABC/66/2.tiff/info.json"), (1, 0, "q?IIIF=r/z/info.json")))
+def diva_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.createDataFrame([("http://l.test/item", _PLAYER_PAGE)], "url string, html string")
+    documents = spark.createDataFrame([("https://c.test/ABC.json", '{"pgs":[{"f":"1.tiff","w":5},{"f":"2.tiff"}],"more":1}'), ("sA", '{"pgs":[{"f":"z"}]}')], "url string, body string")
+    return scan.player_pages(pages, documents).select("player", "pos", "url")
+
+
+@query(values("viewer, pages", ("https://e.test/safe-view/1/2/1/MDAyX1IucGRm", ["https://e.test/safe-view/1/2/1/MDAyX1IucGRmLzA=", "https://e.test/safe-view/1/2/1/MDAyX1IucGRmLzE="]), ("https://e.test/safe-view/x/%%", None), ("https://e.test/safe-view/x/QUI=", [])))
+def safe_view_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("https://e.test/safe-view/1/2/1/MDAyX1IucGRm", "x setPagesCount(2);"), ("https://e.test/safe-view/x/%%", "setPagesCount(2)"), ("https://e.test/safe-view/x/QUI=", "setPagesCount(0)")], "viewer string, html string")
+    return rows.select("viewer", v.safe_view_pages(F.col("html"), F.col("viewer")).alias("pages"))
+
+
+_KINDS = [
+    ("http://elib.rgo.ru/handle/1/22", "<p class=pagination>", True, False, True, "collection"), ("http://elib.rgo.ru/handle/1/22?offset=20", "<p>", True, True, True, "item"), ("http://elib.rgo.ru/handle/1/x", "tbl-type-1-adapt", False, False, True, "collection"), ("http://elib.rgo.ru/safe-view/1", "", False, False, True, "safe_view"),
+    ("http://www.prlib.ru/item/5", _PLAYER_PAGE, False, False, True, "players"), ("http://h.test/handle/1/22", "pagination", True, False, False, "unknown"),
+]
+
+
+@query(values("url, item, listing, library, kind", *((x, a, b, c, k) for x, _, a, b, c, k in _KINDS)))
+def collection_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:2] for r in _KINDS], "url string, html string")
+    url = F.col("url")
+    return rows.select("url", u.is_item(url).alias("item"), u.is_pagination(url, F.lit("http://elib.rgo.ru/handle/1/22")).alias("listing"), v.is_library_page(url).alias("library"), v.page_kind(url, F.col("html")).alias("kind"))
+
+
+_ROOT = "http://e.test/handle/1/9"
+
+
+@query(values("url, level", ("http://e.test/handle/1/10", 0), ("http://e.test/handle/1/11", 1), ("http://e.test/handle/1/12", 2)))
+def collection_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = lambda *hs: "".join(f'<a href="{h}">x</a>' for h in hs)
+    pages = [(_ROOT, listing("/handle/1/10", "?offset=20", "/handle/1/10#x", "/other")), (_ROOT + "?offset=20", listing("/handle/1/11", "/handle/1/9?offset=40", "/handle/1/9", "/handle/1/10")), (_ROOT + "?offset=40", listing("?offset=20", "12"))]
+    return scan.collection_items(_ROOT, spark.createDataFrame(pages, "url string, html string"), Workspace(spark, "collection"))
+
+
+@query("SELECT n - 9 AS pos, 'p/' || CASE WHEN n < 10 THEN '0' ELSE '' END || n || '.jpg' AS url FROM (SELECT unnest(range(9, 112)) AS n)")
+def url_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.template_urls(spark, "p/{n}.jpg", 9, 111, 2).unionByName(scan.template_urls(spark, "x", 3, 1))
+
+
+@query(values("url, library", ("http://a.test/1.jpg", False), ("http://elib.rgo.ru/handle/1/2", True)))
+def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = [" http://a.test/1.jpg ", "", "# comment", "  ", "http://elib.rgo.ru/handle/1/2", " #x"]
+    return scan.list_urls(spark.createDataFrame(list(enumerate(lines)), "pos bigint, value string")).select("url", "library")
+
+
+@query(values("url, enqueue_pos", ("i1", 0), ("p2", 1), ("t09", 2), ("t10", 3), ("l1", 4)))
+def seed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = lambda *urls: spark.createDataFrame(list(enumerate(urls)), "pos bigint, url string")
+    return scan.seed_union(source("i1"), source("p2", "i1"), scan.template_urls(spark, "t{n}", 9, 10, 2), source("l1", "p2", "l1"))
+
+
+_GRID = "SELECT base, x, y, least(1024, width - x) AS w, least(1024, height - y) AS h FROM (VALUES ('b1', 2500, 1100), ('b2', 1024, 10), ('b3', 1, 5000)) t(base, width, height), LATERAL (SELECT unnest(range(0, height, 1024)) AS y), LATERAL (SELECT unnest(range(0, width, 1024)) AS x)"
+
+
+def _images(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("b1", 2500, 1100), ("b2", 1024, 10), ("b3", 1, 5000), ("b4", 0, 7)], "base string, width bigint, height bigint")
+
+
+@query(_GRID)
+def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.tiles(_images(spark)).select("base", "x", "y", "w", "h")
+
+
+@query(f"SELECT base || '/' || x || ',' || y || ',' || w || ',' || h || '/full/0/default.jpg' AS url FROM ({_GRID})")
+def tile_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.tiles(_images(spark)).select("url")
+
+
+_BLACK, _DOT = "000000", "0A141E"
+
+
+@query(values("base, width, height, rgb", ("c", 4, 4, _BLACK * 10 + _DOT * 2 + _BLACK * 2 + _DOT * 2), ("d", 2, 1, "010203" + "070809")))
+def tile_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dot = bytes.fromhex(_DOT)
+    pieces = [("c", 4, 4, 0, 0, 4, 4, bytes(48)), ("c", 4, 4, 2, 2, 3, 3, dot * 9), ("d", 2, 1, 0, 0, 2, 1, bytes([1, 2, 3, 4, 5, 6])), ("d", 2, 1, 1, 0, 1, 1, bytes([7, 8, 9]))]
+    out = scan.stitch(spark.createDataFrame(pieces, "base string, width int, height int, x int, y int, w int, h int, data binary"))
+    return out.select("base", "width", "height", F.hex("data").alias("rgb"))
+
+
+_BYTES = [(97446, 62014), (265737, 214332), (176332, 135187), (259667, 208217), (180798, 138853), (337105, 281657), (303181, 38075), (311273, 36805), (309986, 35202), (329563, 39190), (321758, 36055), (340916, 37307), (500, 400), (0, 0)]
+_SCANS = [(f"https://h.test/v/{i}.jpg" if i % 3 else f"https://h.test/iip?IIIF=/d/{i}.tiff/info.json", a, b, 1115, 1484, i % 2 == 0) for i, (a, b) in enumerate(_BYTES)]
+
+
+@query("SELECT url, CASE WHEN url LIKE '%IIIF=%' THEN regexp_extract(url, '([^/]*)/info', 1) ELSE 'h.test_v_' || regexp_extract(url, '[^/]*$') END AS file_stem, url LIKE '%IIIF=%' OR src_bytes >= 1024 AS ok, CASE WHEN NOT url LIKE '%IIIF=%' AND is_jpeg THEN 'transcode' ELSE 'pixels_lossless' END AS mode, printf('%.0f%%', CASE WHEN src_bytes > 0 THEN jxl_bytes * 100.0::DOUBLE / src_bytes ELSE 0 END) AS ratio_text FROM (" + values("url, src_bytes, jxl_bytes, width, height, is_jpeg", *_SCANS) + ")")
+def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_SCANS, "url string, src_bytes bigint, jxl_bytes bigint, width bigint, height bigint, is_jpeg boolean")
+    return scan.scan_manifest(rows, lossless=True).select("url", "file_stem", "ok", "mode", "ratio_text")
+
+
+@query(_MANIFEST.replace("SELECT page_id, url, title, file_stem, length", "SELECT page_id, length").replace(", len(links)::BIGINT AS links_found FROM b", " FROM b").replace("'Source: ' || url", "'Source: http://tvorenia.russportal.ru/raw/' || page_id || '.html'").replace("coalesce(", "coalesce(", 1).replace(", file_stem) AS title", ", page_id::VARCHAR) AS title"))
+def offline_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are written as an archive of raw files (every second one packed) in the shared folder and rebuilt from it."""
+    ws = Workspace(spark, "archive")
+    pages = _pages(spark, sf_dir).select("page_id", F.encode("html", "utf-8").alias("body"))
+    body = F.when(F.col("page_id") % 2 == 0, archive.zstd(3)(F.col("body"))).otherwise(F.col("body"))
+    raw = ws.save(pages.select("page_id", body.alias("content")), "raw")
+    text = F.coalesce(archive.unzstd(F.when(F.col("page_id") % 2 == 0, F.col("content"))), F.col("content"))
+    html = raw.select("page_id", F.col("page_id").cast("string").alias("file_stem"), F.make_valid_utf8(text.cast("string")).alias("html"))
+    title = F.coalesce(p.title(F.col("html")), F.col("file_stem"))
+    source = F.concat(F.lit("http://tvorenia.russportal.ru/raw/"), "file_stem", F.lit(".html"))
+    md = html.withColumn("md", p.markdown(p.markdown_body(p.main_content(F.col("html"))), title, source))
+    return md.select("page_id", F.length(p.plain_body(F.col("md"))).cast("bigint").alias("text_chars"))
+
+
+@query(_MANIFEST)
+def stream_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "stream")
+    source = ws.save(_pages(spark, sf_dir).repartition(4), "pages")
+    out = f"{ws.root}/manifest"
+    shape = lambda batch: _derived(batch).select("page_id", F.col("norm_url").alias("url"), "title", "file_stem", "text_chars", F.size("links").cast("bigint").alias("links_found"))
+    stream.run_to_end(stream.page_stream(spark, source._workspace_path, files_per_batch=2), shape, out, f"{ws.root}/checkpoint")
+    return spark.read.parquet(out).drop("batch")
