@@ -3,8 +3,10 @@
 Every text has a MinHash signature, cut into TREES orders of DEPTH values. Each order is one sorted list (a range
 partitioned sort on order and signature, so no list sits in one task). Texts that stand near each other in a list and share
 a long prefix are candidates: next neighbours from MIN_DEPTH common values on, neighbours further off only where they share
-a deeper prefix, so that a crowded region is searched at greater depth than a sparse one. Candidates are confirmed on full
-shingle sets. Confirmation goes in two turns: the two best partners of each text first, then every other candidate pair
+a deeper prefix, so that a crowded region is searched at greater depth than a sparse one. In crowded regions each text is also
+a candidate with the region's most central one, and with others that share a shingle which that one has not; together they
+stand in for all pairs of the region at a cost in proportion to its size. Candidates are confirmed on full shingle sets.
+Confirmation goes in two turns: the two best partners of each text and its leaders first, then every other candidate pair
 whose texts are still in different components; a pair inside one component cannot change the result.
 
 Texts with the same words are one node from the start, however many they are, so a group of exact copies costs a row each.
@@ -174,13 +176,15 @@ def _across(limit: float):
     return run
 
 
-def candidates(nodes: DataFrame, ws: Workspace, limit: float) -> DataFrame:
-    """(a, b, votes, depth): neighbours in the sorted orders. nodes: key, n_shingles, signature, one row a distinct text."""
-    spark = nodes.sparkSession
+def _tree_rows(nodes: DataFrame) -> DataFrame:
     width = DEPTH * 2
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.cast("int").alias("tree"), F.substring(F.col("signature"), t * width + 1, F.lit(width)).alias("prefix")))
-    rows = nodes.filter("n_shingles > 0").select("key", "n_shingles", F.explode(trees).alias("t")).select("t.tree", "t.prefix", "key", "n_shingles")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return nodes.filter("n_shingles > 0").select("key", "n_shingles", F.explode(trees).alias("t")).select("t.tree", "t.prefix", "key", "n_shingles")
+
+
+def candidates(rows: DataFrame, ws: Workspace, limit: float) -> DataFrame:
+    """(a, b, votes, depth): neighbours in the sorted orders. rows: _tree_rows of one row a distinct text."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = rows.repartitionByRange(n, "tree", "prefix", "key").sortWithinPartitions("tree", "prefix", "key").withColumn("part", F.spark_partition_id())
     found = ws.save(ordered.mapInArrow(_neighbours(limit), "a binary, b binary, depth int, tree int, prefix binary, n_shingles bigint, part int"), "neighbours")
     # 2 * REACH rows a partition: bounded by the number of partitions, not by the documents
@@ -189,8 +193,21 @@ def candidates(nodes: DataFrame, ws: Workspace, limit: float) -> DataFrame:
     return found.filter("b is not null").select("a", "b", "depth").unionByName(far).groupBy("a", "b").agg(F.count("*").alias("votes"), F.max("depth").alias("depth"))
 
 
+def leaders(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """(key, leader): the texts of crowded regions, where neighbours in order are not all that share a prefix, with the most
+    central text of the region: the one whose whole signatures are the most common in the trees."""
+    here = rows.withColumn("region", F.substring("prefix", 1, MIN_DEPTH * 2))
+    crowded = here.groupBy("tree", "region").agg(F.count("*").alias("members")).filter(F.col("members") > REACH + 1).select("tree", "region")
+    inside = ws.save(here.join(crowded, ["tree", "region"], "left_semi").select("tree", "region", "prefix", "key"), "crowded")
+    runs = inside.groupBy("tree", "prefix").agg(F.count("*").alias("run"))
+    score = inside.join(runs, ["tree", "prefix"]).groupBy("key").agg(F.sum("run").alias("score"))
+    best = inside.join(score, "key").groupBy("tree", "region").agg(F.max_by("key", F.struct("score", "key")).alias("leader"))
+    return inside.join(best, ["tree", "region"]).filter("key != leader").select("key", "leader").distinct()
+
+
 def _confirm(width: int, percent: int):
-    """Pairs whose full shingle sets meet the threshold."""
+    """a, b, linked: whether a pair's full shingle sets meet the threshold. If one of them leads a region (lead: 1 for a, 2 for
+    b), also the other one's shingles that the leader has not, unless the two have little in common."""
 
     def shingles(text: str) -> set:
         w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -199,25 +216,36 @@ def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sets = None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
-            keep = []
+            a, b, ta, tb, lead = (batch.column(c) for c in ("a", "b", "text_a", "text_b", "lead"))
+            linked, own = [], []
             for i in range(batch.num_rows):
                 if a[i].as_py() != last:
                     last, sets = a[i].as_py(), shingles(ta[i].as_py())
                 other = shingles(tb[i].as_py())
                 both = len(sets & other)
-                keep.append(100 * both >= percent * (len(sets) + len(other) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+                union = len(sets) + len(other) - both
+                linked.append(100 * both >= percent * union)
+                first = lead[i].as_py()
+                rest = (other - sets if first == 1 else sets - other) if first and 3 * both >= union else ()
+                own.append([xxhash.xxh64_intdigest(b" ".join(s)) - (1 << 63) for s in rest])
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_()), lead, pa.array(own, pa.list_(pa.int64()))], ["a", "b", "linked", "lead", "own"])
 
     return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): the pairs whose texts really are that similar. texts: key, text, one row a key."""
+    """a, b, linked, lead, own for pairs (a, b, lead). texts: key, text, one row a key."""
     one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a binary, b binary")
+    return two.select("a", "b", "text_a", "text_b", "lead").mapInArrow(_confirm(width, percent), "a binary, b binary, linked boolean, lead int, own array<bigint>")
+
+
+def _apart(judged: DataFrame) -> DataFrame:
+    """(a, b) for texts of a crowded region that share a shingle which their leader has not: such texts can be near each other
+    and far from the leader. Of each shingle's texts every one is paired with the one of fewest such shingles."""
+    each = judged.filter("size(own) > 0").select(F.when(F.col("lead") == 1, F.col("b")).otherwise(F.col("a")).alias("key"), F.size("own").alias("n"), F.explode("own").alias("shingle"))
+    head = each.groupBy("shingle").agg(F.min_by("key", F.struct("n", "key")).alias("head"), F.count("*").alias("texts")).filter("texts > 1").select("shingle", "head")
+    return each.join(head, "shingle").filter("key != head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, percent: int = 80) -> DataFrame:
@@ -231,22 +259,25 @@ def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, percent: int
     """
     features = ws.save(docs.select("doc_id", "text").mapInArrow(_features(width), "doc_id bigint, key binary, n_shingles bigint, signature binary"), "features")
     nodes = features.groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.max("signature").alias("signature"))
-    found = ws.save(candidates(nodes, ws, percent / 100), "candidates")
-    used = ws.save(found.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "used")
+    rows = _tree_rows(nodes)
+    found = ws.save(candidates(rows, ws, percent / 100), "candidates")
+    led = ws.save(leaders(rows, ws).select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"), F.when(F.col("leader") < F.col("key"), 1).otherwise(2).alias("lead")), "leaders")
+    used = ws.save(found.select("a", "b").unionByName(led.select("a", "b")).select(F.explode(F.array("a", "b")).alias("key")).distinct(), "used")
     # the filter is bounded in size and only spares the shuffle of texts without candidates; the join after it is exact
     wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(used.select(F.xxhash64("key").alias("short")), used.count()))
     keyed = docs.select("text").mapInArrow(_wanted_texts(wanted), "key binary, text string")
     texts = ws.save(keyed.groupBy("key").agg(F.min("text").alias("text")).join(used, "key", "left_semi"), "texts")
     ends = found.select(F.col("a").alias("x"), "a", "b", "votes", "depth").unionByName(found.select(F.col("b").alias("x"), "a", "b", "votes", "depth"))
     order = Window.partitionBy("x").orderBy(F.desc("votes"), F.desc("depth"), "a", "b")
-    best = ends.withColumn("rank", F.row_number().over(order)).filter("rank <= 2").select("a", "b").distinct()
-    links = ws.save(confirm(best, texts, width, percent), "links")
-    first = ws.save(components(links, ws), "components")
+    best = ends.withColumn("rank", F.row_number().over(order)).filter("rank <= 2").select("a", "b", F.lit(0).alias("lead"))
+    judged = ws.save(confirm(best.unionByName(led).groupBy("a", "b").agg(F.max("lead").alias("lead")), texts, width, percent), "judged")
+    first = ws.save(components(judged.filter("linked"), ws), "components")
+    both = found.select("a", "b").unionByName(_apart(judged)).distinct()
     rest = (
-        found.select("a", "b").join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .filter("ca is null or cb is null or ca != cb").select("a", "b").join(best, ["a", "b"], "left_anti")
+        both.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .filter("ca is null or cb is null or ca != cb").select("a", "b").join(judged.select("a", "b"), ["a", "b"], "left_anti")
     )
-    more = ws.save(confirm(rest, texts, width, percent), "more-links")
+    more = ws.save(confirm(rest.withColumn("lead", F.lit(0)), texts, width, percent).filter("linked").select("a", "b"), "links")
     ws.drop(texts)
     whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), ws)
     grouped = nodes.select("key", "least").join(whole.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
