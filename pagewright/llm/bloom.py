@@ -17,14 +17,14 @@ from pagewright.llm.kernels import mix
 
 BLOCK_BITS = 10  # 1024 blocks
 PROBES = 4
-BITS_PER_KEY = 10
+BITS_PER_KEY = 8
 MAX_BYTES = 1 << 25
 _U = np.uint64
 
 
 def block_bytes(keys: int, most: int = MAX_BYTES) -> int:
     """Bytes of each block for so many keys: a power of two, within the bound for the whole filter."""
-    want = max(keys, 1) * BITS_PER_KEY / 8 / (1 << BLOCK_BITS) * 1.3
+    want = max(keys, 1) * BITS_PER_KEY / 8 / (1 << BLOCK_BITS)
     size = 64
     while size < want and (size << BLOCK_BITS) * 2 <= most:
         size *= 2
@@ -47,7 +47,7 @@ def block_of(keys: np.ndarray) -> np.ndarray:
 class Bloom:
     """blocks: bytes of all blocks one after another."""
 
-    def __init__(self, blocks: bytes, size: int):
+    def __init__(self, blocks: bytes | bytearray, size: int):
         self.bits, self.size = np.frombuffer(blocks, np.uint8), size
 
     def has(self, keys: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def _build(size: int):
     return run
 
 
-def build(keys: DataFrame, count: int, most: int = MAX_BYTES) -> tuple[bytes, int]:
+def build(keys: DataFrame, count: int, most: int = MAX_BYTES) -> tuple[bytearray, int]:
     """(blocks, bytes of a block) of the filter of the one column of keys, bigint; count: how many there are.
 
     Beyond what fits the bound, bits per key fall and false positives rise; callers must stay right with any rate of them.
@@ -97,8 +97,7 @@ def build(keys: DataFrame, count: int, most: int = MAX_BYTES) -> tuple[bytes, in
     name = keys.columns[0]
     block = F.shiftrightunsigned(F.col(name), 64 - BLOCK_BITS)
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keys.repartition(n, block).mapInArrow(_build(size), "block int, bits binary").collect()
     whole = bytearray(size << BLOCK_BITS)
-    for r in rows:
-        whole[r["block"] * size : (r["block"] + 1) * size] = bytes(r["bits"])
-    return bytes(whole), size
+    for r in keys.repartition(n, block).mapInArrow(_build(size), "block int, bits binary").collect():
+        whole[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
+    return whole, size

@@ -241,10 +241,17 @@ def score(docs: DataFrame, ws: Workspace, weight: float = 0.5, most_broadcast: i
     keys = counted.select("kind", "bucket", "keys", "counts").unionByName(begin).mapInArrow(_level_keys, "key bigint")
     blocks, size = bloom.build(keys, sum(f["entries"] for f in facts.values()) + 60, FILTER_BYTES)
     model = {"blocks": blocks, "size": size, "tokens": total, "vocabulary": vocabulary, "weight": weight, "keys": None, "counts": None}
-    words = counted.filter("kind = 1").select("keys", "counts", "bucket")
+    words = counted.filter("kind = 1").select("keys", "counts", "bucket", "n_keys")
     if vocabulary <= most_broadcast:
-        parts = sorted(words.collect(), key=lambda r: r["bucket"])
-        model |= {"keys": b"".join(bytes(r["keys"]) for r in parts), "counts": b"".join(bytes(r["counts"]) for r in parts)}
+        # buckets are ranges of the hash, so the table is sorted once each stands in its place; one partition a time comes here
+        at, start = {}, 0
+        for r in words.select("bucket", "n_keys").orderBy("bucket").collect():
+            at[r["bucket"]], start = start, start + r["n_keys"]
+        keys_, counts_ = bytearray(8 * start), bytearray(8 * start)
+        for r in words.toLocalIterator():
+            begin, end = 8 * at[r["bucket"]], 8 * at[r["bucket"]] + len(r["keys"])
+            keys_[begin:end], counts_[begin:end] = r["keys"], r["counts"]
+        model |= {"keys": keys_, "counts": counts_}
     scored = rows.mapInArrow(_scores(spark.sparkContext.broadcast(model)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, text string")
     if vocabulary > most_broadcast:
         norm = total + 0.5 * (vocabulary + 1)
