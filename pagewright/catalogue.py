@@ -58,11 +58,13 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages", "page_id", "url", "html")
 
 
-_OWN = (u.host(F.col("url")), F.concat(u.scheme(F.col("url")), F.lit("://"), u.host(F.col("url")), F.lit("/")), F.lit("/"))
+def _own() -> tuple:
+    """Each page's own host as the scope."""
+    return u.own_scope(F.col("url"))
 
 
 def _derived(pages: DataFrame) -> DataFrame:
-    return derive.derive(pages, _OWN)
+    return derive.derive(pages, _own())
 
 
 _MANIFEST = f"""WITH n AS (SELECT page_id, html, {d.normal('url')} AS url FROM pages),
@@ -113,7 +115,7 @@ def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MANIFEST.replace("SELECT page_id, url, title, file_stem, length", f"SELECT page_id, CASE WHEN length({d.plain('md')}) > 40 THEN left({d.plain('md')}, 40) || '…' ELSE {d.plain('md')} END AS sample, length").replace(", len(links)::BIGINT AS links_found FROM b", " FROM b"))
 def plain_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive.derive(_pages(spark, sf_dir), _OWN, sample_chars=40).select("page_id", "sample", "text_chars")
+    return derive.derive(_pages(spark, sf_dir), _own(), sample_chars=40).select("page_id", "sample", "text_chars")
 
 
 _EDGES = f"SELECT url AS src, i::INTEGER - 1 AS pos, links[i] AS dst FROM (SELECT url, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT url, {d.links('html', 'url')} AS links FROM (SELECT html, {d.normal('url')} AS url FROM pages)))"
@@ -147,7 +149,7 @@ _NORMAL = [
 
 @query(f"SELECT url, {d.normal('url')} AS normal FROM pages UNION ALL " + values("url, normal", *((x, n) for _, x, n in _NORMAL)))
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "pages", "url").select("url", u.normalize(F.col("url"), *_OWN).alias("normal"))
+    out = table(spark, sf_dir, "pages", "url").select("url", u.normalize(F.col("url"), *_own()).alias("normal"))
     for start in dict.fromkeys(s for s, *_ in _NORMAL):
         cases = spark.createDataFrame([(x,) for s, x, _ in _NORMAL if s == start], "url string")
         out = out.unionByName(cases.select("url", u.normalize_in(F.col("url"), u.Scope.of(start)).alias("normal")))
@@ -190,14 +192,19 @@ def exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", u.excluded_by(F.col("url"), ("/de/[0-9]+", "page=")).alias("pattern"))
 
 
-_STATUS = F.when(F.col("page_id") % 7 == 0, 403).when(F.col("page_id") % 11 == 0, 500).when(F.col("page_id") % 13 == 0, F.lit(None).cast("int")).otherwise(200)
+def _status():
+    """A made-up response status of each page."""
+    number = F.col("page_id")
+    return F.when(number % 7 == 0, 403).when(number % 11 == 0, 500).when(number % 13 == 0, F.lit(None).cast("int")).otherwise(200)
+
+
 _STATUS_SQL = "CASE WHEN page_id % 7 = 0 THEN 403 WHEN page_id % 11 = 0 THEN 500 WHEN page_id % 13 = 0 THEN NULL ELSE 200 END"
 _OUTCOME_SQL = "CASE WHEN http BETWEEN 200 AND 299 THEN 'downloaded' WHEN http IN (403, 404) THEN 'skipped' ELSE 'failed' END"
 
 
 @query(f"SELECT page_id, {_OUTCOME_SQL} AS status, CASE WHEN http IS NULL THEN 'request failed: ' || url WHEN http NOT BETWEEN 200 AND 299 THEN 'HTTP ' || http || ' for ' || url END AS reason FROM (SELECT *, {_STATUS_SQL} AS http FROM pages)")
 def status_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages", "page_id", "url").withColumn("http", _STATUS)
+    rows = table(spark, sf_dir, "pages", "page_id", "url").withColumn("http", _status())
     return rows.select("page_id", crawl.outcome(F.col("http"), (403, 404)).alias("status"), crawl.reason(F.col("url"), F.col("http"), F.lit(None).cast("string")).alias("reason"))
 
 
@@ -247,7 +254,7 @@ def state_scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT *, CASE WHEN frontier_total = 0 THEN 100.0 ELSE downloaded * 100.0::DOUBLE / frontier_total END AS frontier_percent, NULL::VARCHAR AS last_url FROM (SELECT *, greatest(seen, downloaded + queued) AS frontier_total FROM (
  SELECT count(*) FILTER (status = 'downloaded') AS downloaded, 0::BIGINT AS queued, count(*) AS seen, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM (SELECT {_OUTCOME_SQL} AS status FROM (SELECT {_STATUS_SQL} AS http FROM pages)))))""")
 def progress_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.progress(table(spark, sf_dir, "pages", "page_id").select(crawl.outcome(_STATUS, (403, 404)).alias("status")))
+    return crawl.progress(table(spark, sf_dir, "pages", "page_id").select(crawl.outcome(_status(), (403, 404)).alias("status")))
 
 
 @query("SELECT page_id, n, n % 25 = 0 AS checkpoint, TRUE AS every_one, FALSE AS never FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages)")

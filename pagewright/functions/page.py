@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagewright.functions import text as tx
 from pagewright.functions import url as u
+from pagewright.functions.binding import let
 
 MAIN_BEGIN, MAIN_END = "<!--Main Content-->", "<!--EndOf Main Content-->"
 #: Labels of character sets and the JVM's names for them, fixed values.
@@ -89,21 +90,21 @@ def bare(page: Column) -> Column:
 def title(page: Column, references=entities) -> Column:
     """Text of the first h1, else of the first title, that is not blank: inner tags become spaces, references are decoded twice
     (once by the parser, once for pages that escape twice), white space is cleaned. Null without either."""
-    clean = bare(page)
 
-    def of(tag: str) -> Column:
+    def of(clean: Column, tag: str) -> Column:
         raw = F.regexp_extract(clean, f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>", 1)
-        said = tx.clean_ws(references(references(F.regexp_replace(raw, "(?s)<[^>]+>", " "))))
-        return F.when(said != "", said)
+        return F.nullif(tx.clean_ws(references(references(F.regexp_replace(raw, "(?s)<[^>]+>", " ")))), F.lit(""))
 
-    return F.coalesce(of("h1"), of("title"))
+    if references is entities:
+        return let(bare(page), lambda clean: F.coalesce(of(clean, "h1"), of(clean, "title")))
+    return F.coalesce(of(bare(page), "h1"), of(bare(page), "title"))  # a worker's function cannot stand in a lambda
 
 
 def main_content(page: Column) -> Column:
     """What stands between the content marks; the whole page without both, in that order. An empty region is empty."""
-    after = F.substring(page, F.locate(MAIN_BEGIN, page) + len(MAIN_BEGIN), 1 << 30)
-    both = (F.locate(MAIN_BEGIN, page) > 0) & (F.locate(MAIN_END, after) > 0)
-    return F.when(both, F.substring_index(after, MAIN_END, 1)).otherwise(page)
+    begin = F.locate(MAIN_BEGIN, page)
+    after = F.when(begin > 0, F.substring(page, begin + len(MAIN_BEGIN), 1 << 30))
+    return let(after, lambda a: F.when(F.contains(a, F.lit(MAIN_END)), F.substring_index(a, MAIN_END, 1)).otherwise(page))
 
 
 #: Tags and what they become, in this order, fixed values.
@@ -136,8 +137,7 @@ def markdown(body: Column, name: Column, url: Column) -> Column:
 
 def plain_body(md: Column) -> Column:
     """Text after the first --- (wherever it is), white space cleaned."""
-    at = F.locate("---", md)
-    return tx.clean_ws(F.when(at > 0, F.substring(md, at + 3, 1 << 30)).otherwise(md))
+    return tx.clean_ws(let(md, lambda m: F.when(F.contains(m, F.lit("---")), F.substring(m, F.locate("---", m) + 3, 1 << 30)).otherwise(m)))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -159,7 +159,7 @@ def hrefs(page: Column) -> Column:
 
 def links(page: Column, base: Column, scope: tuple[Column, Column, Column], excluded: tuple[str, ...] = ()) -> Column:
     """In-scope links of a page in normal form, each once, in order."""
-    found = F.transform(hrefs(page), lambda h: u.normalize(u.resolve(base, h), *scope))
+    found = F.transform(F.transform(hrefs(page), lambda h: u.resolve(base, h)), lambda x: u.normalize(x, *scope))
     kept = F.filter(found, lambda x: x.isNotNull())
     if excluded:
         kept = F.filter(kept, lambda x: u.excluded_by(x, excluded).isNull())
@@ -169,10 +169,15 @@ def links(page: Column, base: Column, scope: tuple[Column, Column, Column], excl
 def best_of_srcset(srcset: Column) -> Column:
     """The candidate of the largest width, the first of equals; other descriptors count as 0; an empty part voids the whole."""
     parts = F.transform(F.split(srcset, ",", -1), lambda p: tx.clean_ws(p))
-    seen = F.transform(parts, lambda p: F.struct(F.substring_index(p, " ", 1).alias("url"), F.coalesce(F.try_to_number(F.regexp_extract(F.get(F.split(p, " "), F.lit(1)), "^([0-9]{1,9})w$", 1), F.lit("999999999")), F.lit(0)).cast("bigint").alias("w")))
-    start = F.struct(F.lit(None).cast("string").alias("url"), F.lit(-1).cast("bigint").alias("w"))
-    best = F.aggregate(seen, start, lambda a, c: F.when(c["w"] > a["w"], c).otherwise(a))["url"]
-    return F.when(~F.exists(parts, lambda p: p == ""), best)
+
+    def best(list_: Column) -> Column:
+        width = lambda p: F.regexp_extract(p, "^\\S+ ([0-9]{1,9})w( |$)", 1)
+        seen = F.transform(list_, lambda p: F.struct(F.substring_index(p, " ", 1).alias("url"), F.coalesce(F.nullif(width(p), F.lit("")).cast("bigint"), F.lit(0)).alias("w")))
+        start = F.struct(F.lit(None).cast("string").alias("url"), F.lit(-1).cast("bigint").alias("w"))
+        first = F.aggregate(seen, start, lambda a, c: F.when(c["w"] > a["w"], c).otherwise(a))["url"]
+        return F.when(~F.exists(list_, lambda p: p == ""), first)
+
+    return let(parts, best)
 
 
 def image_links(page: Column, base: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagewright.functions.binding import let
+
 _A = "\\p{IsAlphabetic}"
 _MARK = "[\\u0300-\\u036F\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF\\uFE20-\\uFE2F]"
 _SPACE = "[ \\t\\u00A0\\u202F]"
@@ -28,21 +30,25 @@ def sample(text: Column, limit: int) -> Column:
 
 def _joined(phrase: Column) -> Column:
     """A phrase with its words joined if it is long enough to be meant so, else as it is."""
-    words = F.split(phrase, f"{_SPACE}{{2,}}", -1)
-    letters = lambda w: F.size(F.split(w, _SPACE, -1))
-    sizes = F.transform(words, letters)
-    total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
-    singles = total - F.size(sizes)
-    good = (singles >= 2) & ((F.array_max(sizes) >= 4) | ((F.size(sizes) > 1) & (total >= 5)))
-    return F.when(good, F.array_join(F.transform(words, lambda w: F.regexp_replace(w, _SPACE, "")), " ")).otherwise(phrase)
+
+    def judged(words: Column) -> Column:
+        sizes = F.transform(words, lambda w: F.size(F.split(w, _SPACE, -1)))
+        total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+        good = (total - F.size(sizes) >= 2) & ((F.array_max(sizes) >= 4) | ((F.size(sizes) > 1) & (total >= 5)))
+        return F.when(good, F.array_join(F.transform(words, lambda w: F.regexp_replace(w, _SPACE, "")), " ")).otherwise(phrase)
+
+    return let(F.split(phrase, f"{_SPACE}{{2,}}", -1), judged)
 
 
 def despace(text: Column) -> Column:
     """Letter-spaced phrases joined: к ъ  с л о в у becomes къ слову. One pass of one expression over the text."""
-    found = F.regexp_extract_all(text, F.lit(_PHRASE), 0)
-    between = F.split(text, _PHRASE, -1)
-    whole = F.array_join(F.zip_with(between, found, lambda b, p: F.concat(b, F.coalesce(_joined(p), F.lit("")))), "")
-    return F.when(F.rlike(text, F.lit(_PHRASE)), whole).otherwise(text)
+
+    def repaired(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(_PHRASE), 0)
+        whole = F.array_join(F.zip_with(F.split(t, _PHRASE, -1), found, lambda b, p: F.concat(b, F.coalesce(_joined(p), F.lit("")))), "")
+        return F.when(F.rlike(t, F.lit(_PHRASE)), whole).otherwise(t)
+
+    return let(text, repaired)
 
 
 def glue_initials(text: Column) -> Column:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagewright.functions.binding import let
+
 #: Path suffixes of assets that are no pages, fixed values.
 ASSETS = "jpg jpeg png gif webp svg ico css js mjs pdf djvu zip rar 7z tar gz mp3 mp4 avi mov webm woff woff2 ttf eot".split()
 IMAGES = "jpg jpeg png tif tiff webp bmp jp2".split()
@@ -56,12 +58,20 @@ def fragment(url: Column) -> Column:
 
 def percent_encoded(text: Column, bad: str) -> Column:
     """Characters of the class as the %XX of their UTF-8 bytes."""
-    chars = F.transform(F.split(text, ""), lambda c: F.when(F.rlike(c, F.lit(bad)), F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")).otherwise(c))
-    return F.when(F.rlike(text, F.lit(bad)), F.array_join(chars, "")).otherwise(text)
+
+    def coded(t: Column) -> Column:
+        chars = F.transform(F.split(t, ""), lambda c: F.when(F.rlike(c, F.lit(bad)), F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")).otherwise(c))
+        return F.when(F.rlike(t, F.lit(bad)), F.array_join(chars, "")).otherwise(t)
+
+    return let(text, coded)
 
 
 def without_dots(p: Column) -> Column:
     """A path that begins with a slash, its . and .. segments resolved."""
+    return let(p, _without_dots)
+
+
+def _without_dots(p: Column) -> Column:
     parts = F.split(F.substring(p, 2, 1 << 30), "/", -1)
     last = F.size(parts) - 1
     indexed = F.transform(parts, lambda s, i: F.struct(s.alias("s"), (i == last).alias("last")))
@@ -80,6 +90,10 @@ def without_dots(p: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """An absolute URL written out in its standard form; null if it is none."""
+    return let(url, _canonical)
+
+
+def _canonical(url: Column) -> Column:
     q, f = query(url), fragment(url)
     out = F.concat(scheme(url), F.lit("://"), authority(url), percent_encoded(without_dots(path(F.translate(url, "\\", "/"))), _PATH_BAD), F.coalesce(F.concat(F.lit("?"), percent_encoded(q, _QUERY_BAD)), F.lit("")), F.coalesce(F.concat(F.lit("#"), percent_encoded(f, _QUERY_BAD)), F.lit("")))
     return F.when(F.rlike(url, F.lit(_URL)) & (authority(url) != ""), out)
@@ -89,14 +103,18 @@ def resolve(base: Column, href: Column) -> Column:
     """href as a URL of the page at base (absolute, in standard form): absolute, //host, /rooted, ?query, #fragment, empty or
     relative with dot segments. Null for other schemes and where base is no URL."""
     h = F.regexp_replace(F.regexp_replace(href, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\n\\r]", "")
-    root = F.concat(scheme(base), F.lit("://"), authority(base))
-    page = F.concat(root, path(base))
-    here = F.concat(page, F.coalesce(F.concat(F.lit("?"), query(base)), F.lit("")))
-    full = (
-        F.when(F.rlike(h, F.lit("^(?i:https?)://")), h).when(F.rlike(h, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None).cast("string")).when(F.startswith(h, F.lit("//")), F.concat(scheme(base), F.lit(":"), h)).when(F.startswith(h, F.lit("/")), F.concat(root, h))
+    parts = F.struct(F.rlike(base, F.lit(_URL)).alias("good"), scheme(base).alias("scheme"), authority(base).alias("authority"), path(base).alias("path"), F.coalesce(F.concat(F.lit("?"), query(base)), F.lit("")).alias("query"), h.alias("h"))
+    return let(parts, lambda b: F.when(b["good"], canonical(_joined(b, b["h"]))))
+
+
+def _joined(b: Column, h: Column) -> Column:
+    root = F.concat(b["scheme"], F.lit("://"), b["authority"])
+    page = F.concat(root, b["path"])
+    here = F.concat(page, b["query"])
+    return (
+        F.when(F.rlike(h, F.lit("^(?i:https?)://")), h).when(F.rlike(h, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None).cast("string")).when(F.startswith(h, F.lit("//")), F.concat(b["scheme"], F.lit(":"), h)).when(F.startswith(h, F.lit("/")), F.concat(root, h))
         .when(F.startswith(h, F.lit("?")), F.concat(page, h)).when(F.startswith(h, F.lit("#")), F.concat(here, h)).when(h == "", here).otherwise(F.concat(F.regexp_replace(page, "[^/]*$", ""), h))
     )
-    return F.when(F.rlike(base, F.lit(_URL)), canonical(full))
 
 
 @dataclass(frozen=True)
@@ -125,22 +143,27 @@ def is_asset(p: Column) -> Column:
     return F.rlike(F.lower(p), F.lit("\\.(" + "|".join(ASSETS) + ")$"))
 
 
+def _plain(s: Column) -> Column:
+    return let(s, lambda t: F.coalesce(F.try_url_decode(t), t))
+
+
 def form_value(q: Column, name: str) -> Column:
     """Decoded value of the first pair of that name; null without one."""
-    plain = lambda s: F.coalesce(F.try_url_decode(s), s)
-    pairs = F.filter(F.split(q, "&", -1), lambda p: plain(F.substring_index(p, "=", 1)) == name)
-    first = F.get(pairs, F.lit(0))
-    return F.when(F.contains(first, F.lit("=")), plain(F.regexp_replace(first, "^[^=]*=", ""))).when(first.isNotNull(), F.lit(""))
+    first = F.get(F.filter(F.split(q, "&", -1), lambda p: _plain(F.substring_index(p, "=", 1)) == name), F.lit(0))
+    return let(first, lambda f: F.when(F.contains(f, F.lit("=")), _plain(F.regexp_replace(f, "^[^=]*=", ""))).when(f.isNotNull(), F.lit("")))
 
 
 def normalize(url: Column, scope_host: Column, scope_root: Column, scope_prefix: Column) -> Column:
     """The page's identity within a scope: the scope's scheme and host, the path, the query without which it is another page
     (index.php: its id alone), no fragment. Null outside the scope, and for assets."""
-    p, q = path(url), query(url)
-    ident = form_value(q, "id")
-    kept = F.when(F.endswith(p, F.lit("/index.php")), F.when(F.trim(ident) != "", F.concat(F.lit("id="), percent_encoded(ident, _QUERY_BAD)))).otherwise(q)
-    out = F.concat(F.rtrim(scope_root, F.lit("/")), p, F.coalesce(F.concat(F.lit("?"), kept), F.lit("")))
-    return F.when((host(url) == scope_host) & in_prefix(p, scope_prefix) & ~is_asset(p), out)
+    parts = let(url, lambda x: F.struct(host(x).alias("host"), path(x).alias("path"), query(x).alias("query"), form_value(query(x), "id").alias("id")))
+
+    def written(b: Column) -> Column:
+        kept = F.when(F.endswith(b["path"], F.lit("/index.php")), F.when(F.trim(b["id"]) != "", F.concat(F.lit("id="), percent_encoded(b["id"], _QUERY_BAD)))).otherwise(b["query"])
+        out = F.concat(F.rtrim(scope_root, F.lit("/")), b["path"], F.coalesce(F.concat(F.lit("?"), kept), F.lit("")))
+        return F.when((b["host"] == scope_host) & in_prefix(b["path"], scope_prefix) & ~is_asset(b["path"]), out)
+
+    return let(parts, written)
 
 
 def normalize_in(url: Column, scope: Scope) -> Column:
@@ -166,31 +189,35 @@ def text_stem(text: Column) -> Column:
     """A file name: other characters than [A-Za-z0-9._-] become _, runs of dots one, ends are trimmed; nothing left: page."""
     s = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]", "_"), "\\.{2,}", ".")
     s = F.regexp_replace(s, "^[._-]+|[._-]+$", "")
-    return F.when(s == "", "page").otherwise(s)
+    return let(s, lambda x: F.when(x == "", "page").otherwise(x))
 
 
 def page_stem(url: Column) -> Column:
-    ident = form_value(query(url), "id")
-    trimmed = F.translate(F.regexp_replace(path(url), "^/+|/+$", ""), "/", ".")
-    key = F.concat(F.when(trimmed == "", "index").otherwise(trimmed), F.when(query(url) != "", F.concat(F.lit("__q_"), query(url))).otherwise(""))
-    return text_stem(F.when(F.trim(ident) != "", ident).otherwise(key))
+    parts = let(url, lambda x: F.struct(path(x).alias("path"), F.coalesce(query(x), F.lit("")).alias("query"), form_value(query(x), "id").alias("id")))
+
+    def named(b: Column) -> Column:
+        trimmed = F.translate(F.regexp_replace(b["path"], "^/+|/+$", ""), "/", ".")
+        key = let(trimmed, lambda t: F.concat(F.when(t == "", "index").otherwise(t), F.when(b["query"] != "", F.concat(F.lit("__q_"), b["query"])).otherwise("")))
+        return text_stem(F.when(F.trim(b["id"]) != "", b["id"]).otherwise(key))
+
+    return let(parts, named)
 
 
 def scan_text_stem(text: Column) -> Column:
     """Runs of other characters than [A-Za-z0-9.-] become one _; _ and then . are trimmed; the last 180 characters stay."""
     s = F.regexp_replace(text, "[^A-Za-z0-9.-]+", "_")
     s = F.regexp_replace(F.regexp_replace(s, "^_+|_+$", ""), "^\\.+|\\.+$", "")
-    return F.when(F.length(s) > 180, F.right(s, F.lit(180))).otherwise(s)
+    return let(s, lambda x: F.when(F.length(x) > 180, F.right(x, F.lit(180))).otherwise(x))
 
 
 def scan_stem(url: Column) -> Column:
     s = scan_text_stem(F.concat(host(url), F.lit("_"), path(url), F.coalesce(F.concat(F.lit("_"), query(url)), F.lit(""))))
-    return F.when(s == "", "index").otherwise(s)
+    return let(s, lambda x: F.when(x == "", "index").otherwise(x))
 
 
 def iiif_stem(base: Column) -> Column:
     s = scan_text_stem(F.substring_index(F.substring_index(base, "/", -1), "?", 1))
-    return F.when(s == "", "page").otherwise(s)
+    return let(s, lambda x: F.when(x == "", "page").otherwise(x))
 
 
 def looks_like_image(url: Column) -> Column:
