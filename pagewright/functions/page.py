@@ -38,7 +38,7 @@ def header_charset(content_type: Column) -> Column:
 
 def meta_charset(body: Column) -> Column:
     """Character set that the first 8 KiB of a page name: at the first `charset=`, else at the first `charset =`."""
-    head = F.lower(F.decode(F.substring(body, 1, 8192), F.lit("ISO-8859-1")))
+    head = F.lower(F.decode(F.substring(body, 1, 8192), "ISO-8859-1"))
     at = lambda needle: _known(F.when(F.contains(head, F.lit(needle)), F.regexp_extract(head, f"(?s)^.*?{needle}[ \\t'\"]*([^\"'>;\\s]*)", 1)))
     return F.coalesce(at("charset="), at("charset ="))
 
@@ -50,7 +50,7 @@ def charset(body: Column, content_type: Column) -> Column:
 
 def decoded(body: Column, content_type: Column) -> Column:
     """Text of a body (needs SESSION); a byte order mark is dropped, malformed bytes become U+FFFD."""
-    return F.regexp_replace(F.decode(body, charset(body, content_type)), "^\\uFEFF", "")
+    return F.regexp_replace(F.call_function("decode", body, charset(body, content_type)), "^\\uFEFF", "")
 
 
 @F.pandas_udf(T.StringType())

@@ -59,7 +59,8 @@ def collection_items(start: str, pages: DataFrame, ws: Workspace, levels: int =
         if frontier.isEmpty():
             break
         seen = ws.save(seen.unionByName(frontier), "seen")
-    return seen.join(out, "url").filter(u.is_item(F.col("dst")) & (F.col("dst") != root)).groupBy(F.col("dst").alias("url")).agg(F.min("level").alias("level"))
+    own = (u.path(F.col("dst")) == u.path(root)) | u.query(F.col("dst")).isNotNull()  # itself, listings, filters
+    return seen.join(out, "url").filter(u.is_item(F.col("dst")) & ~own).groupBy(F.col("dst").alias("url")).agg(F.min("level").alias("level"))
 
 
 def tiles(images: DataFrame, tile: int = 1024) -> DataFrame:
