@@ -252,11 +252,18 @@ def score(docs: DataFrame, ws: Workspace, weight: float = 0.5, most_broadcast: i
             begin, end = 8 * at[r["bucket"]], 8 * at[r["bucket"]] + len(r["keys"])
             keys_[begin:end], counts_[begin:end] = r["keys"], r["counts"]
         model |= {"keys": keys_, "counts": counts_}
-    scored = rows.mapInArrow(_scores(spark.sparkContext.broadcast(model)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, text string")
+    sent_model = spark.sparkContext.broadcast(model)
+    del model
+    fields = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    scored = rows.mapInArrow(_scores(sent_model), fields + ", text string")
     if vocabulary > most_broadcast:
         norm = total + 0.5 * (vocabulary + 1)
         c = words.select("keys", "counts").mapInArrow(_vocabulary_rows, "hash bigint, c bigint")
         each = rows.select("text").mapInArrow(_text_counts, "key binary, hash bigint, n bigint").groupBy("key", "hash").agg(F.max("n").alias("n")).join(c, "hash", "left").withColumn("c", F.coalesce("c", F.lit(0)))
         base = each.groupBy("key").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(norm))).alias("base_score"))
-        scored = scored.mapInArrow(_keyed, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, key binary").drop("n_known", "base_score").join(base, "key", "left")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+        scored = scored.mapInArrow(_keyed, fields + ", key binary").drop("n_known", "base_score").join(base, "key", "left")
+    # written here, so that driver and executors can let go of the model
+    out = ws.save(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"), "scores")
+    sent_model.destroy()
+    ws.drop(counted)
+    return out

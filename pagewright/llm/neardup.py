@@ -267,6 +267,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, percent: int
     wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(used.select(F.xxhash64("key").alias("short")), used.count()))
     keyed = docs.select("text").mapInArrow(_wanted_texts(wanted), "key binary, text string")
     texts = ws.save(keyed.groupBy("key").agg(F.min("text").alias("text")).join(used, "key", "left_semi"), "texts")
+    wanted.destroy()
     ends = found.select(F.col("a").alias("x"), "a", "b", "votes", "depth").unionByName(found.select(F.col("b").alias("x"), "a", "b", "votes", "depth"))
     order = Window.partitionBy("x").orderBy(F.desc("votes"), F.desc("depth"), "a", "b")
     best = ends.withColumn("rank", F.row_number().over(order)).filter("rank <= 2").select("a", "b", F.lit(0).alias("lead"))

@@ -176,6 +176,7 @@ def repeated_blocks(docs: DataFrame, ws: Workspace, window: int) -> DataFrame:
     anchors = ws.save(text.mapInArrow(_anchors(window), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
     twice = spark.sparkContext.broadcast(bloom.build(anchors, anchors.count()))
     seen = ws.save(text.mapInArrow(_occurrences(window, twice), _BLOCK), "occurrences")
+    twice.destroy()
     ws.drop(anchors)
     each = ws.save(seen.groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.max("windows").alias("windows"), F.max("low").alias("low")), "blocks")
     # where an anchor has several blocks and one of them occurs once, single windows decide; elsewhere whole blocks do
