@@ -21,6 +21,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,22 +239,24 @@ def _common(a: str, b: str) -> int:
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, key, lines and their kinds: each page's blocks, those outside by mark-up left empty."""
+    """page_id, url, key, lines (packed for the shuffle) and their kinds: each page's blocks, those outside by mark-up empty."""
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         keys, text, kinds = [], [], []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             found = lines(page or "")
             keys.append(_key(url, page))
-            text.append("\n".join(t if k != OUT else "" for t, k in found))
+            text.append(pack.compress("\n".join(t if k != OUT else "" for t, k in found).encode("utf-8", "surrogatepass")))
             kinds.append(bytes(k for _, k in found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(text, pa.string()), pa.array(kinds, pa.binary())], ["page_id", "url", "key", "lines", "kinds"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(text, pa.binary()), pa.array(kinds, pa.binary())], ["page_id", "url", "key", "lines", "kinds"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         texts = []
         for joined, kinds, template in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "template")), strict=True):
-            found = joined.split("\n") if kinds else []
+            found = unpack.decompress(joined).decode("utf-8", "surrogatepass").split("\n") if kinds else []
             gone = set(np.frombuffer(template or b"", np.uint32).tolist())
             explicit = INSIDE in kinds
             # differencing decides what mark-up leaves open; with an explicit article, what is open is outside it
@@ -285,6 +288,6 @@ def extract(pages: DataFrame, ws: Workspace) -> DataFrame:
     after = own.select(F.coalesce(F.try_element_at(backs, F.col("id")), F.col("id") - 1).alias("id"), F.col("page").alias("after"))
     near = own.join(before, "id", "left").join(after, "id", "left").select("page", "before", "after")
     template = ws.save(near.mapInArrow(_compare, "key binary, template binary"), "template")
-    blocks = pages.select("page_id", "url", "html").mapInArrow(_compact, "page_id bigint, url string, key binary, lines string, kinds binary")
+    blocks = pages.select("page_id", "url", "html").mapInArrow(_compact, "page_id bigint, url string, key binary, lines binary, kinds binary")
     out = blocks.join(template, "key", "left").select("page_id", "url", "lines", "kinds", "template").mapInArrow(_finish, "page_id bigint, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
