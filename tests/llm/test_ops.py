@@ -262,10 +262,10 @@ def test_token_counts(docs, none):
 
 
 def brute_repeats(data, window):
-    seen = Counter(tuple(words(r[1])[i : i + window]) for r in data for i in range(len(words(r[1])) - window + 1))
+    texts = [words(r[1]) for r in data]
+    seen = Counter(tuple(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
     out = Counter()
-    for r in data:
-        w = words(r[1])
+    for r, w in zip(data, texts, strict=True):
         gone = set()
         for i in range(len(w) - window + 1):
             if seen[tuple(w[i : i + window])] > 1:
