@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,10 +83,11 @@ def _features(width: int):
 
 
 def _wanted_texts(wanted):
-    """key, text of the texts whose key may be wanted; within a task each goes out once, so that copies do not meet."""
+    """key, text (packed for the shuffle) of the texts whose key may be wanted; within a task each goes out once, so that
+    copies do not meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = bloom.Bloom(*wanted.value)
+        keep, pack = bloom.Bloom(*wanted.value), zstandard.ZstdCompressor(level=3)
         seen: set[bytes] = set()
         for batch in batches:
             texts = encode(batch.column(0).to_pylist())
@@ -95,8 +97,8 @@ def _wanted_texts(wanted):
             for i in np.flatnonzero(new).tolist():
                 new[i] = keys[i] not in seen
                 seen.add(keys[i])
-            mask = pa.array(new, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).filter(mask), batch.column(0).filter(mask)], ["key", "text"])
+            out = np.flatnonzero(new).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in out], pa.binary()), pa.array([pack.compress(texts[i]) for i in out], pa.binary())], ["key", "text"])
 
     return run
 
@@ -209,11 +211,15 @@ def _confirm(width: int, percent: int):
     """a, b, linked: whether a pair's full shingle sets meet the threshold. If one of them leads a region (lead: 1 for a, 2 for
     b), also the other one's shingles that the leader has not, unless the two have little in common."""
 
-    def shingles(text: str) -> set:
-        w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    def shingles(packed: bytes) -> set:
+        w = unpack.decompress(packed).translate(_LOWER).split()
         return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)}
 
+    unpack = None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal unpack
+        unpack = zstandard.ZstdDecompressor()
         last, sets = None, None
         for batch in batches:
             a, b, ta, tb, lead = (batch.column(c) for c in ("a", "b", "text_a", "text_b", "lead"))
@@ -265,7 +271,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, percent: int
     used = ws.save(found.select("a", "b").unionByName(led.select("a", "b")).select(F.explode(F.array("a", "b")).alias("key")).distinct(), "used")
     # the filter is bounded in size and only spares the shuffle of texts without candidates; the join after it is exact
     wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(used.select(F.xxhash64("key").alias("short")), used.count()))
-    keyed = docs.select("text").mapInArrow(_wanted_texts(wanted), "key binary, text string")
+    keyed = docs.select("text").mapInArrow(_wanted_texts(wanted), "key binary, text binary")
     texts = ws.save(keyed.groupBy("key").agg(F.min("text").alias("text")).join(used, "key", "left_semi"), "texts")
     wanted.destroy()
     ends = found.select(F.col("a").alias("x"), "a", "b", "votes", "depth").unionByName(found.select(F.col("b").alias("x"), "a", "b", "votes", "depth"))
