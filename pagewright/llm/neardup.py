@@ -211,23 +211,20 @@ def _confirm(width: int, percent: int):
     """a, b, linked: whether a pair's full shingle sets meet the threshold. If one of them leads a region (lead: 1 for a, 2 for
     b), also the other one's shingles that the leader has not, unless the two have little in common."""
 
-    def shingles(packed: bytes) -> set:
-        w = unpack.decompress(packed).translate(_LOWER).split()
+    def shingles(text: bytes) -> set:
+        w = text.translate(_LOWER).split()
         return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)}
 
-    unpack = None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal unpack
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor().decompress
         last, sets = None, None
         for batch in batches:
             a, b, ta, tb, lead = (batch.column(c) for c in ("a", "b", "text_a", "text_b", "lead"))
             linked, own = [], []
             for i in range(batch.num_rows):
                 if a[i].as_py() != last:
-                    last, sets = a[i].as_py(), shingles(ta[i].as_py())
-                other = shingles(tb[i].as_py())
+                    last, sets = a[i].as_py(), shingles(unpack(ta[i].as_py()))
+                other = shingles(unpack(tb[i].as_py()))
                 both = len(sets & other)
                 union = len(sets) + len(other) - both
                 linked.append(100 * both >= percent * union)
