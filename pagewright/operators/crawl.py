@@ -75,16 +75,16 @@ def crawl(state: DataFrame, responses: DataFrame, edges: DataFrame, ws: Workspac
             judged = judged.withColumn("before", F.coalesce(so_far, F.lit(0))).withColumn("cut", F.min(F.when((F.col("before") >= room) & F.col("status").isin(DONE, FAILED, SKIPPED), F.col("enqueue_pos"))).over(Window.partitionBy(F.lit(0))))
             stays = F.col("cut").isNotNull() & (F.col("enqueue_pos") >= F.col("cut"))
             judged = judged.withColumn("status", F.when(stays, QUEUED).otherwise(F.col("status"))).withColumn("reason", F.when(~stays, F.col("reason")))
-        judged = ws.save(judged.select("url", "status", "reason", "enqueue_pos"), "level")
+        judged = ws.save(judged.select("url", "status", "reason", "enqueue_pos", "new"), "level")
         done = judged.filter(F.col("status") == DONE)
         fresh = done.select(F.col("url").alias("src"), "enqueue_pos").join(edges, "src").groupBy("dst").agg(F.min(F.struct("enqueue_pos", "pos")).alias("at")).withColumnRenamed("dst", "url").join(now.select("url"), "url", "left_anti")
         top = now.agg(F.max("enqueue_pos")).first()[0] or 0
         place = F.row_number().over(Window.orderBy("at.enqueue_pos", "at.pos")) + F.lit(top)
         queued = fresh.select("url", F.lit(QUEUED).alias("status"), F.lit(None).cast("string").alias("reason"), place.cast("bigint").alias("enqueue_pos"))
-        next_ = ws.save(now.filter(F.col("status") != QUEUED).unionByName(judged).unionByName(queued), "state")
+        next_ = ws.save(now.filter(F.col("status") != QUEUED).unionByName(judged.drop("new")).unionByName(queued), "state")
         stopped = room is not None and not judged.filter(F.col("status") == QUEUED).isEmpty()
         if room is not None:
-            room -= judged.filter(F.col("status") == DONE).count()
+            room -= judged.filter((F.col("status") == DONE) & (F.col("new") == 1)).count()
         ws.drop(now)
         now = next_
         if stopped:
