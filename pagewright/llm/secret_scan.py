@@ -47,6 +47,8 @@ MORE = [
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 
+#: Candidate rows that may be broadcast.
+MOST_BROADCAST = 200_000
 #: Alternatives longer than this are cut back to the literals found so far: the query gets weaker, never wrong.
 _MOST_STRINGS = 32
 
@@ -193,7 +195,8 @@ def scan(docs: DataFrame, ws: Workspace, base: list[Rule] | None = None, more: l
     grams = sorted({g for q in indexed.values() for c in q for g in c})
     postings = index(marked.select(F.col("__key").alias("key"), F.col("__text").alias("text")), grams)
     hits = ws.save(candidates(postings, indexed).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds")), "candidates")
-    joined = marked.join(hits, "__key", "left")
+    # candidates are few; where they are not, texts are shuffled once to meet them
+    joined = marked.join(F.broadcast(hits) if hits.count() <= MOST_BROADCAST else hits, "__key", "left")
     text = F.col("__text")
     found = [_of_rule(text, rank, rule, is_base, rule.kind in indexed) for rank, (rule, is_base) in enumerate(rules)]
     return joined.select(*docs.columns, F.sort_array(F.concat(*found)).alias("found"))
