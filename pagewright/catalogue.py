@@ -423,7 +423,7 @@ def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_manifest(rows, lossless=True).select("url", "file_stem", "ok", "mode", "ratio_text")
 
 
-@query(_MANIFEST.replace("SELECT page_id, url, title, file_stem, length", "SELECT page_id, length").replace(", len(links)::BIGINT AS links_found FROM b", " FROM b").replace("'Source: ' || url", "'Source: http://tvorenia.russportal.ru/raw/' || page_id || '.html'").replace("coalesce(", "coalesce(", 1).replace(", file_stem) AS title", ", page_id::VARCHAR) AS title"))
+@query(_MANIFEST.replace("SELECT page_id, url, title, file_stem, length", "SELECT page_id, length").replace(", len(links)::BIGINT AS links_found FROM b", " FROM b").replace("'Source: ' || url", "'Source: http://archive.invalid/raw/' || page_id || '.html'").replace("coalesce(", "coalesce(", 1).replace(", file_stem) AS title", ", page_id::VARCHAR) AS title"))
 def offline_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are written as an archive of raw files (every second one packed) in the shared folder and rebuilt from it."""
     ws = Workspace(spark, "archive")
@@ -433,7 +433,7 @@ def offline_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(archive.unzstd(F.when(F.col("page_id") % 2 == 0, F.col("content"))), F.col("content"))
     html = raw.select("page_id", F.col("page_id").cast("string").alias("file_stem"), F.make_valid_utf8(text.cast("string")).alias("html"))
     title = F.coalesce(p.title(F.col("html")), F.col("file_stem"))
-    source = F.concat(F.lit("http://tvorenia.russportal.ru/raw/"), "file_stem", F.lit(".html"))
+    source = F.concat(F.lit("http://archive.invalid/raw/"), "file_stem", F.lit(".html"))
     md = html.withColumn("md", p.markdown(p.markdown_body(p.main_content(F.col("html"))), title, source))
     return md.select("page_id", F.length(p.plain_body(F.col("md"))).cast("bigint").alias("text_chars"))
 
