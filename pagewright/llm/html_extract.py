@@ -40,6 +40,7 @@ MARKS = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_MAIN_ROLE = re.compile(r"\srole\s*=\s*[\"']?main\b", re.I)
 #: Elements whose start closes an open one of the same kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _P_ENDS = BLOCKS - {"br", "option", "legend", "caption", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "html", "body"}
@@ -48,14 +49,21 @@ _P_ENDS = BLOCKS - {"br", "option", "legend", "caption", "summary", "td", "th",
 INSIDE, OUT, OPEN = 1, 2, 0
 
 
-def _marked(name: str, attrs: str) -> bool:
-    """Whether class, id, role or hidden say that an element is not the article."""
+def _marked(name: str, attrs: str, inside: bool) -> bool:
+    """Whether class, id, role or hidden say that an element is not the article. Inside it, a header is the article's own; an
+    <article> is none only if it is a comment."""
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_WORD.findall(value)):
-            return True
+        if key in ("class", "id", "role") and name not in ("html", "body", "main"):
+            said = MARKS.intersection(_WORD.findall(value))
+            if name == "article":
+                said &= {"comment", "comments", "replies"}
+            elif inside:
+                said -= {"header", "banner"}
+            if said:
+                return True
     return False
 
 
@@ -130,9 +138,9 @@ def lines(page: str) -> list[tuple[str, int]]:
                     break
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        if kind == OUT or name in OUTSIDE or (name == "header" and kind != INSIDE) or _marked(name, m[3]):
+        if kind == OUT or name in OUTSIDE or (name == "header" and kind != INSIDE) or _marked(name, m[3], kind == INSIDE):
             inner = OUT
-        elif name in ("article", "main"):
+        elif name in ("article", "main") or _MAIN_ROLE.search(m[3]):
             inner = INSIDE
         else:
             inner = kind
