@@ -140,9 +140,8 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 def index(texts: DataFrame, grams: list[str]) -> DataFrame:
     """Postings (gram, key) of the texts (key, text): of those trigrams only that some query asks for."""
-    # ASCII only is folded: other letters whose lower case is ASCII must not hide or feign a trigram
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = texts.withColumn("low", low).select("key", F.filter(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)), lambda g: g.isNotNull()).alias("grams"))
+    # letters beyond ASCII whose lower case is ASCII can only add candidates
+    held = texts.withColumn("low", F.lower("text")).select("key", F.filter(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)), lambda g: g.isNotNull()).alias("grams"))
     return held.select(F.explode("grams").alias("gram"), "key")
 
 
@@ -176,7 +175,7 @@ def _of_rule(text: Column, rank: int, rule: Rule, base: bool, indexed: bool) ->
     """A rule's spans in a candidate text (in any text if the rule is not indexed), none elsewhere."""
     maybe = F.rlike(text, F.lit(rule.pattern))
     if indexed:
-        maybe = F.array_contains("__kinds", rule.kind) & maybe
+        maybe = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)) & maybe  # null would not spare the expression
     own = F.when(maybe, spans(text, rule)).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
     return F.transform(own, lambda s: F.struct(s["begin"].alias("begin"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end"), F.lit(base).alias("base")))
 
