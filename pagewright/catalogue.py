@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagewright import duck as d
 from pagewright.functions import page as p
@@ -18,6 +17,7 @@ from pagewright.functions import text as tx
 from pagewright.functions import url as u
 from pagewright.functions import viewers as v
 from pagewright.operators import crawl, derive, scan
+from pagewright.plans.ranking import numbered
 from pagewright.plans.workspace import Workspace
 from pagewright.sources import archive
 from pagewright.sources.tables import table
@@ -242,7 +242,8 @@ def crawl_resume_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(values(_STATE, *_FULL[:6], (_URLS[6], "queued", None, 0)))
 def crawl_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.retry(crawl.crawl(*_site(spark), Workspace(spark, "crawl")))
+    ws = Workspace(spark, "crawl")
+    return crawl.retry(crawl.crawl(*_site(spark), ws), ws)
 
 
 @query(f"SELECT url, {d.host('url')} AS host FROM pages WHERE {d.host('url')} <> 'blog.tionsh.example.com'")
@@ -259,7 +260,7 @@ def progress_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, n, n % 25 = 0 AS checkpoint, TRUE AS every_one, FALSE AS never FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages)")
 def checkpoint_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages", "page_id").withColumn("n", F.row_number().over(Window.orderBy("page_id")).cast("bigint"))
+    rows = numbered(table(spark, sf_dir, "pages", "page_id"), ["page_id"], "n", Workspace(spark, "schedule"), 1)
     return rows.select("page_id", "n", crawl.due(F.col("n"), 25).alias("checkpoint"), crawl.due(F.col("n"), 1).alias("every_one"), crawl.due(F.col("n"), 0, always_below_two=False).alias("never"))
 
 
@@ -382,7 +383,7 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(values("url, enqueue_pos", ("i1", 0), ("p2", 1), ("t09", 2), ("t10", 3), ("l1", 4)))
 def seed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = lambda *urls: spark.createDataFrame(list(enumerate(urls)), "pos bigint, url string")
-    return scan.seed_union(source("i1"), source("p2", "i1"), scan.template_urls(spark, "t{n}", 9, 10, 2), source("l1", "p2", "l1"))
+    return scan.seed_union(Workspace(spark, "seeds"), source("i1"), source("p2", "i1"), scan.template_urls(spark, "t{n}", 9, 10, 2), source("l1", "p2", "l1"))
 
 
 _GRID = "SELECT base, x, y, least(1024, width - x) AS w, least(1024, height - y) AS h FROM (VALUES ('b1', 2500, 1100), ('b2', 1024, 10), ('b3', 1, 5000)) t(base, width, height), LATERAL (SELECT unnest(range(0, height, 1024)) AS y), LATERAL (SELECT unnest(range(0, width, 1024)) AS x)"

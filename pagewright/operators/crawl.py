@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagewright.functions import url as u
+from pagewright.plans.ranking import numbered
 from pagewright.plans.workspace import Workspace
 
 QUEUED, DONE, FAILED, SKIPPED = "queued", "downloaded", "failed", "skipped"
@@ -38,16 +38,13 @@ def check_scope(state: DataFrame, scope_host: str) -> DataFrame:
     return state.filter(u.host(F.col("url")) != scope_host).select("url", u.host(F.col("url")).alias("host")).orderBy("url")
 
 
-def retry(state: DataFrame, known: tuple[str, ...] = (DONE, QUEUED)) -> DataFrame:
+def retry(state: DataFrame, ws: Workspace, known: tuple[str, ...] = (DONE, QUEUED)) -> DataFrame:
     """Failed URLs become queued again, behind the queue and in the order of their URLs; what is done or queued under another
     row of the state is not queued twice, and every failure is cleared."""
     held = state.filter(F.col("status").isin(*known)).select("url").distinct()
-    failed = state.filter(F.col("status") == FAILED)
-    again = failed.join(held, "url", "left_anti")
-    tail = state.filter(F.col("status") == QUEUED).agg(F.coalesce(F.max("enqueue_pos") + 1, F.lit(0)).alias("tail"))
-    placed = again.withColumn("tail", F.lit(tail.first()["tail"]))
-    rank = F.row_number().over(Window.orderBy("url")) - 1
-    back = placed.select("url", F.lit(QUEUED).alias("status"), F.lit(None).cast("string").alias("reason"), (F.col("tail") + rank).cast("bigint").alias("enqueue_pos"))
+    again = state.filter(F.col("status") == FAILED).select("url").distinct().join(held, "url", "left_anti")
+    tail = state.filter(F.col("status") == QUEUED).agg(F.coalesce(F.max("enqueue_pos") + 1, F.lit(0))).first()[0]
+    back = numbered(again, ["url"], "enqueue_pos", ws, tail).select("url", F.lit(QUEUED).alias("status"), F.lit(None).cast("string").alias("reason"), "enqueue_pos")
     return state.filter(F.col("status") != FAILED).unionByName(back)
 
 
@@ -69,18 +66,21 @@ def crawl(state: DataFrame, responses: DataFrame, edges: DataFrame, ws: Workspac
         banned = u.excluded_by(F.col("url"), exclude)
         after = F.when(banned.isNotNull(), SKIPPED).when(F.col("saved"), DONE).otherwise(outcome(F.col("http"), skip_status))
         why = F.when(banned.isNotNull(), F.concat(F.lit("excluded by pattern: "), banned)).when(F.col("saved"), None).otherwise(reason(F.col("url"), F.col("http"), F.col("error")))
-        judged = met.select("url", "enqueue_pos", after.alias("status"), why.alias("reason"), ((after == DONE) & ~F.col("saved")).cast("int").alias("new"))
-        if room is not None:  # the queue's order decides who is still in; one level's URLs, narrow rows
-            so_far = F.sum("new").over(Window.orderBy("enqueue_pos").rowsBetween(Window.unboundedPreceding, -1))
-            judged = judged.withColumn("before", F.coalesce(so_far, F.lit(0))).withColumn("cut", F.min(F.when((F.col("before") >= room) & F.col("status").isin(DONE, FAILED, SKIPPED), F.col("enqueue_pos"))).over(Window.partitionBy(F.lit(0))))
-            stays = F.col("cut").isNotNull() & (F.col("enqueue_pos") >= F.col("cut"))
-            judged = judged.withColumn("status", F.when(stays, QUEUED).otherwise(F.col("status"))).withColumn("reason", F.when(~stays, F.col("reason")))
+        fetch = banned.isNull() & ~F.col("saved")
+        judged = met.select("url", "enqueue_pos", after.alias("status"), why.alias("reason"), fetch.alias("fetch"), ((after == DONE) & fetch).cast("int").alias("new"))
+        if room is not None:  # the first fetch behind the last page that the limit lets in ends the run; it and the rest stay queued
+            judged = ws.save(judged, "outcomes")
+            last = judged.filter("new = 1").select("enqueue_pos").orderBy("enqueue_pos").limit(max(room, 0)).agg(F.count("*").alias("n"), F.max("enqueue_pos").alias("at")).first()
+            if last["n"] == room:
+                cut = judged.filter(F.col("fetch") & (F.col("enqueue_pos") > (last["at"] if room else -1))).agg(F.min("enqueue_pos")).first()[0]
+                stays = F.lit(False) if cut is None else F.col("enqueue_pos") >= cut
+                judged = judged.withColumn("reason", F.when(~stays, F.col("reason"))).withColumn("new", F.when(~stays, F.col("new"))).withColumn("status", F.when(stays, QUEUED).otherwise(F.col("status")))
         judged = ws.save(judged.select("url", "status", "reason", "enqueue_pos", "new"), "level")
         done = judged.filter(F.col("status") == DONE)
         fresh = done.select(F.col("url").alias("src"), "enqueue_pos").join(edges, "src").groupBy("dst").agg(F.min(F.struct("enqueue_pos", "pos")).alias("at")).withColumnRenamed("dst", "url").join(now.select("url"), "url", "left_anti")
         top = now.agg(F.max("enqueue_pos")).first()[0] or 0
-        place = F.row_number().over(Window.orderBy("at.enqueue_pos", "at.pos")) + F.lit(top)
-        queued = fresh.select("url", F.lit(QUEUED).alias("status"), F.lit(None).cast("string").alias("reason"), place.cast("bigint").alias("enqueue_pos"))
+        placed = numbered(fresh.select("url", F.col("at.enqueue_pos").alias("page"), F.col("at.pos").alias("link")), ["page", "link"], "enqueue_pos", ws, top + 1)
+        queued = placed.select("url", F.lit(QUEUED).alias("status"), F.lit(None).cast("string").alias("reason"), "enqueue_pos")
         next_ = ws.save(now.filter(F.col("status") != QUEUED).unionByName(judged.drop("new")).unionByName(queued), "state")
         stopped = room is not None and not judged.filter(F.col("status") == QUEUED).isEmpty()
         if room is not None:

@@ -9,11 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagewright.functions import page as p
 from pagewright.functions import url as u
 from pagewright.functions import viewers as v
+from pagewright.plans.ranking import numbered
 from pagewright.plans.workspace import Workspace
 
 
@@ -30,11 +30,11 @@ def list_urls(lines: DataFrame) -> DataFrame:
     return lines.select("pos", value.alias("url")).filter((F.col("url") != "") & ~F.startswith("url", F.lit("#"))).withColumn("library", v.is_library_page(F.col("url")))
 
 
-def seed_union(*sources: DataFrame) -> DataFrame:
+def seed_union(ws: Workspace, *sources: DataFrame) -> DataFrame:
     """url, enqueue_pos of ordered sources (pos, url): the first place of each URL, in the order of sources and places."""
     whole = reduce(DataFrame.unionByName, (s.select(F.lit(i).alias("source"), F.col("pos").cast("bigint").alias("pos"), "url") for i, s in enumerate(sources)))
-    first = whole.groupBy("url").agg(F.min(F.struct("source", "pos")).alias("at"))
-    return first.select("url", (F.row_number().over(Window.orderBy("at.source", "at.pos")) - 1).cast("bigint").alias("enqueue_pos"))
+    first = whole.groupBy("url").agg(F.min(F.struct("source", "pos")).alias("at")).select("url", "at.source", "at.pos")
+    return numbered(first, ["source", "pos"], "enqueue_pos", ws).select("url", "enqueue_pos")
 
 
 def player_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
