@@ -128,8 +128,9 @@ def judge(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, all columns. Texts are measured twice rather than moved."""
+    """The rows of docs that judge() keeps, all columns. Rows are written with their measures first: a filter on measures that
+    are not would be pushed below them and write their expressions out many times over."""
     ws = Workspace(spark, "quality-stage")
-    rows = ws.save(measured(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "_m"), "measures")
-    safe = ws.save(calibrate(rows, labels, ws), "cutoffs")
-    return verdicts(measured(docs), safe).filter("kept").select(*docs.columns)
+    rows = ws.save(measured(docs), "measures")
+    safe = ws.save(calibrate(rows.select("doc_id", "lang", "_m"), labels, ws), "cutoffs")
+    return verdicts(rows, safe).filter("kept").select(*docs.columns)
