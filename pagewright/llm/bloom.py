@@ -22,11 +22,11 @@ MAX_BYTES = 1 << 25
 _U = np.uint64
 
 
-def block_bytes(keys: int, most: int = MAX_BYTES) -> int:
-    """Bytes of each block for so many keys: a power of two, within the bound for the whole filter."""
+def block_bytes(keys: int, most: int | None = MAX_BYTES) -> int:
+    """Bytes of each block for so many keys: a power of two, within the bound for the whole filter (None: no bound)."""
     want = max(keys, 1) * BITS_PER_KEY / 8 / (1 << BLOCK_BITS)
     size = 64
-    while size < want and (size << BLOCK_BITS) * 2 <= most:
+    while size < want and (most is None or (size << BLOCK_BITS) * 2 <= most):
         size *= 2
     return size
 
@@ -45,16 +45,16 @@ def block_of(keys: np.ndarray) -> np.ndarray:
 
 
 class Bloom:
-    """blocks: bytes of all blocks one after another."""
+    """blocks: bytes of all blocks, or of the consecutive ones from `first` on, one after another."""
 
-    def __init__(self, blocks: bytes | bytearray, size: int):
-        self.bits, self.size = np.frombuffer(blocks, np.uint8), size
+    def __init__(self, blocks: bytes | bytearray, size: int, first: int = 0):
+        self.bits, self.size, self.first = np.frombuffer(blocks, np.uint8), size, first
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key may be in the filter; probes of keys that already failed are not made."""
         out = np.ones(len(keys), bool)
         live = np.arange(len(keys))
-        base = block_of(keys) * self.size
+        base = (block_of(keys) - self.first) * self.size
         h = mix(keys * _U(0xA0761D6478BD642F) + _U(7))
         step = mix(h) | _U(1)
         for _ in range(PROBES):
@@ -69,6 +69,14 @@ class Bloom:
         return out
 
 
+def bits_of(keys: np.ndarray, size: int) -> np.ndarray:
+    """A block with the bits of keys of that block."""
+    bits = np.zeros(size * 8, bool)
+    for spot in _spots(keys, size):
+        bits[spot.astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def _build(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}

@@ -3,7 +3,10 @@
 Counts of words and word pairs are gathered from the training rows in one shuffle: tasks send them as packed, sorted arrays,
 one row for each of BUCKETS ranges of the hash, nine bytes an n-gram. A count c is kept as its level, 1 + floor(log(c / least)
 / log(BASE)), by setting the keys (n-gram, 1), (n-gram, 2) ... (n-gram, level) in one Bloom filter. A reader probes levels
-from 1 on until one fails. The filter is bounded in size, so it can be broadcast; false positives only raise a level.
+from 1 on until one fails or the greatest level stored is reached; false positives only raise a level. The filter grows with
+the entries, at fixed bits a key. Up to FILTER_BYTES it is broadcast. Beyond, it stays cut by ranges of the n-gram's hash (all
+levels of an n-gram lie in one block): tasks send the distinct n-grams of a chunk of texts to the ranges, each range is probed
+where its blocks are, and the levels go back to the chunk, one byte an n-gram.
 
 Probability of a word after its predecessor: weight * low(pair) / high(predecessor) + (1 - weight) * (low(word) + 0.5) /
 (N + 0.5 * (V + 1)), where low and high are the least and greatest counts of a level: what a history gives out never exceeds 1
@@ -20,6 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +33,13 @@ from pagewright.llm.kernels import combine, encode, mix, word_hashes
 from pagewright.plans.workspace import Workspace
 
 BASE = 1.5
-LEAST_PAIR = 2  # pairs seen once back off to the word; a parameter of the model, the same at every size
+LEAST_PAIR = 1  # every pair that was seen is kept, at every size
 MOST_BROADCAST = 1 << 23
-FILTER_BYTES = 1 << 26
+FILTER_BYTES = 1 << 26  # of a filter that is broadcast
+SHARD_BYTES = 1 << 24  # of a range of a greater one, at most, unless a single block is more
 FLUSH = 1 << 21
+ASKED = 1 << 21  # tokens of a chunk of texts
+LEAST = {1: 1, 2: LEAST_PAIR}
 _U = np.uint64
 END, BEGIN = mix(np.array([0xE0F, 0xB0F], _U))
 
@@ -66,6 +74,24 @@ def tokens(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, before, at
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys in few bytes: differences, byte by byte of all, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def opened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(_U), dtype=_U)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def _large(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def _sent(kind: int, keys: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     key, n = np.unique(np.concatenate(keys), return_counts=True)
     shift = _U(64 - buckets.bit_length() + 1)
@@ -74,7 +100,7 @@ def _sent(kind: int, keys: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     ends = np.append(cuts[1:], len(key))
     n = n.astype(np.uint32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(cuts), kind, np.int32)), pa.array(where[cuts].astype(np.int32)), pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())],
+        [pa.array(np.full(len(cuts), kind, np.int32)), pa.array(where[cuts].astype(np.int32)), pa.array([packed(key[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([_small(n[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())],
         ["kind", "bucket", "keys", "counts"],
     )
 
@@ -105,89 +131,213 @@ def _gather(buckets: int):
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a bucket: its keys with their whole counts; rows come sorted by kind and bucket."""
 
-    def packed(kind: int, bucket: int, keys: list, counts: list) -> pa.RecordBatch:
-        key, n = np.frombuffer(b"".join(keys), _U), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+    def added(kind: int, bucket: int, keys: list, counts: list) -> pa.RecordBatch:
+        key, n = np.concatenate([opened(k) for k in keys]), np.concatenate([_large(c, np.uint32) for c in counts]).astype(np.int64)
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
         first = np.flatnonzero(np.diff(key, prepend=key[0] ^ _U(1)) != 0)
         key, n = key[first], np.add.reduceat(n, first)
         total = int(n.sum())
-        if kind == 2:
-            key, n = key[n >= LEAST_PAIR], n[n >= LEAST_PAIR]
-        entries = int(level_of(n, kind).sum()) if len(n) else 0
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(key)]), pa.array([total]), pa.array([entries])], ["kind", "bucket", "keys", "counts", "n_keys", "total", "entries"])
+        key, n = key[n >= LEAST[kind]], n[n >= LEAST[kind]]
+        level = level_of(n, LEAST[kind])
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([packed(key)], pa.binary()), pa.array([_small(n)], pa.binary()), pa.array([len(key)]), pa.array([total]), pa.array([int(level.sum())]), pa.array([int(level.max(initial=0))], pa.int32())], ["kind", "bucket", "keys", "counts", "n_keys", "total", "entries", "top"])
 
     now, keys, counts = None, [], []
     for batch in batches:
         for kind, bucket, k, c in zip(*(batch.column(x).to_pylist() for x in ("kind", "bucket", "keys", "counts")), strict=True):
             if (kind, bucket) != now:
                 if now is not None:
-                    yield packed(*now, keys, counts)
+                    yield added(*now, keys, counts)
                 now, keys, counts = (kind, bucket), [], []
             keys.append(k)
             counts.append(c)
     if now is not None:
-        yield packed(*now, keys, counts)
+        yield added(*now, keys, counts)
 
 
 def _level_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for kind, keys, counts in zip(*(batch.column(x).to_pylist() for x in ("kind", "keys", "counts")), strict=True):
-            key, level = np.frombuffer(keys, _U), level_of(np.frombuffer(counts, np.int64), kind)
+            key, level = opened(keys), level_of(_large(counts, np.int64), LEAST[kind])
             for j in range(1, int(level.max()) + 1 if len(level) else 1):
-                yield pa.RecordBatch.from_arrays([pa.array(combine(key[level >= j], np.array([j], _U)).view(np.int64))], ["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(level_key(key[level >= j], j).view(np.int64))], ["key"])
+
+
+def _parts(bits: int, size: int):
+    """Blocks of the filter with the bits that one row of counts sets, where they are; several rows can have parts of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for kind, keys, counts in zip(*(batch.column(x).to_pylist() for x in ("kind", "keys", "counts")), strict=True):
+                key, level = opened(keys), level_of(_large(counts, np.int64), LEAST[kind])
+                key, level = key[level > 0], level[level > 0]
+                where = bloom.block_of(key)
+                cuts = np.flatnonzero(np.diff(where, prepend=-1)).tolist()
+                for a, b in zip(cuts, [*cuts, len(key)][1:], strict=True):
+                    all_ = np.concatenate([level_key(key[a:b][level[a:b] >= j], j) for j in range(1, int(level[a:b].max()) + 1)])
+                    block = int(where[a])
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([block >> (bloom.BLOCK_BITS - bits)], pa.int32()), pa.array([block], pa.int32()), pa.array([pack.compress(bloom.bits_of(all_, size).tobytes())], pa.binary())], ["chunk", "shard", "block", "data"])
+
+    return run
+
+
+def level_key(keys: np.ndarray, level: int) -> np.ndarray:
+    """Keys of a level in the filter; the leading bits, and so the block, are the n-gram's own."""
+    rest = _U(64 - bloom.BLOCK_BITS)
+    return keys >> rest << rest | combine(keys, np.array([level], _U)) >> _U(bloom.BLOCK_BITS)
 
 
-def levels(filter_: bloom.Bloom, keys: np.ndarray) -> np.ndarray:
-    """Level of each n-gram by repeated probes."""
+def levels(filter_: bloom.Bloom, keys: np.ndarray, top: int) -> np.ndarray:
+    """Level of each n-gram by repeated probes, up to the greatest level stored."""
     out, live, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-    while len(live):
-        live = live[filter_.has(combine(keys[live], np.array([j], _U)))]
+    while len(live) and j <= top:
+        live = live[filter_.has(level_key(keys[live], j))]
         out[live] = j
         j += 1
     return out
 
 
+def _asked(token: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The n-grams whose levels the scores of some texts need, sorted."""
+    return np.unique(np.concatenate([token, combine(before, token), np.array([BEGIN], _U)]))
+
+
+def _scored(m: dict, batch: pa.RecordBatch, look) -> pa.RecordBatch:
+    """batch (doc_id, held_out, text) with n_tokens, n_known, base_score, score; look: levels of n-grams."""
+    norm, weight = m["tokens"] + 0.5 * (m["vocabulary"] + 1), m["weight"]
+    exact = m["keys"] is not None
+    if exact:
+        keys, counts = np.frombuffer(m["keys"], _U), np.frombuffer(m["counts"], np.int64)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for _, words, bounds in word_hashes(encode(batch.column(2).to_pylist()), True):
+        token, before, at = tokens(words, bounds)
+        first = at[:-1]
+        u, inv = np.unique(token, return_inverse=True)
+        level = look(u)
+        uni = (levels_low(level, 1) + 0.5) / norm
+        begin = look(np.array([BEGIN], _U))[0]
+        high = levels_high(np.append(level, begin), 1)
+        place = np.searchsorted(u, before)
+        place = np.where((place < len(u)) & (u[np.minimum(place, len(u) - 1)] == before), place, len(u))
+        pair, pinv = np.unique(combine(before, token), return_inverse=True)
+        low = levels_low(look(pair), LEAST_PAIR)[pinv]
+        history = high[place]
+        follow = np.divide(low, history, out=np.zeros(len(low)), where=history > 0)
+        p = np.where(history > 0, weight * np.minimum(follow, 1.0) + (1 - weight) * uni[inv], uni[inv])
+        out[0].append(np.diff(at))
+        if exact and len(keys):
+            spot = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+            c = np.where(keys[spot] == u, counts[spot], 0)
+        else:
+            c = np.zeros(len(u), np.int64)
+        out[1].append(np.add.reduceat((c > 0)[inv].astype(np.int64), first))
+        out[2].append(np.add.reduceat(np.log10((c + 0.5) / norm)[inv], first))
+        out[3].append(np.add.reduceat(np.log10(p), first))
+    n = batch.num_rows
+    cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
+    known = [pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float))] if exact else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0].astype(np.int64)), *known, pa.array(cols[3].astype(float)), batch.column(2)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "text"])
+
+
 def _scores(model):
-    """n_tokens, n_known, base_score, score of each text; without a broadcast vocabulary n_known and base_score are null."""
+    """n_tokens, n_known, base_score, score of each text by a broadcast filter; without a broadcast vocabulary n_known and
+    base_score are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         filter_ = bloom.Bloom(m["blocks"], m["size"])
-        norm, weight = m["tokens"] + 0.5 * (m["vocabulary"] + 1), m["weight"]
-        exact = m["keys"] is not None
-        if exact:
-            keys, counts = np.frombuffer(m["keys"], _U), np.frombuffer(m["counts"], np.int64)
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for _, words, bounds in word_hashes(encode(batch.column(2).to_pylist()), True):
-                token, before, at = tokens(words, bounds)
-                first = at[:-1]
-                u, inv = np.unique(token, return_inverse=True)
-                level = levels(filter_, u)
-                uni = (levels_low(level, 1) + 0.5) / norm
-                begin = levels(filter_, np.array([BEGIN], _U))[0]
-                high = levels_high(np.append(level, begin), 1)
-                place = np.searchsorted(u, before)
-                place = np.where((place < len(u)) & (u[np.minimum(place, len(u) - 1)] == before), place, len(u))
-                pair, pinv = np.unique(combine(before, token), return_inverse=True)
-                low = levels_low(levels(filter_, pair), LEAST_PAIR)[pinv]
-                history = high[place]
-                follow = np.divide(low, history, out=np.zeros(len(low)), where=history > 0)
-                p = np.where(history > 0, weight * np.minimum(follow, 1.0) + (1 - weight) * uni[inv], uni[inv])
-                out[0].append(np.diff(at))
-                if exact and len(keys):
-                    spot = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
-                    c = np.where(keys[spot] == u, counts[spot], 0)
+            yield _scored(m, batch, lambda keys: levels(filter_, keys, m["top"]))
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Consecutive rows of about ASKED tokens, and their n-grams."""
+    for batch in batches:
+        start, size, held = 0, 0, []
+        for i, words, bounds in word_hashes(encode(batch.column(2).to_pylist()), True):
+            token, before, _ = tokens(words, bounds)
+            held.append(_asked(token, before))
+            size, end = size + len(token), i + len(bounds) - 1
+            if size >= ASKED or end == batch.num_rows:
+                yield batch.slice(start, end - start), np.unique(np.concatenate(held))
+                start, size, held = end, 0, []
+
+
+def _ask(bits: int):
+    """Each chunk's rows (block -2, packed, sent along by any shard) and its n-grams by ranges of the hash (shard: the leading
+    bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, chunk = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 40
+        for rows, keys in _chunks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_batch(rows)
+            shard = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+            data = [pack.compress(sink.getvalue()), *(packed(keys[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), chunk)), pa.array(np.append(int(mix(np.array([chunk], _U))[0]) % (1 << bits), shard[cuts]).astype(np.int32)), pa.array(np.append(-2, np.full(len(cuts), -1)).astype(np.int32)), pa.array(data, pa.binary())], ["chunk", "shard", "block", "data"])
+            chunk += 1
+
+    return run
+
+
+def _answer(bits: int, size: int, top: int):
+    """Levels of the n-grams asked for, a byte each, and texts as they are, under the shard -1. Rows come sorted by shard, the
+    parts of its blocks (chunk -1) before all else."""
+    share = 1 << (bloom.BLOCK_BITS - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(0, np.uint8)
+        for batch in batches:
+            chunks, shards, out = [], [], []
+            for chunk, shard, block, data in zip(*(batch.column(c) for c in ("chunk", "shard", "block", "data")), strict=True):
+                chunk, shard, block, data = chunk.as_py(), shard.as_py(), block.as_py(), data.as_py()
+                if shard != now:
+                    now, held = shard, np.zeros(share * size, np.uint8)
+                if chunk < 0:
+                    at = (block - shard * share) * size
+                    held[at : at + size] |= _large(data, np.uint8)
+                    continue
+                if block == -1:
+                    data = _small(levels(bloom.Bloom(held, size, shard * share), opened(data), top).astype(np.uint8))
+                chunks.append(chunk)
+                shards.append(shard if block == -1 else -1)
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(shards, pa.int32()), pa.array(out, pa.binary())], ["chunk", "shard", "data"])
+
+    return run
+
+
+def _scores_by_chunk(model):
+    """As _scores; rows come sorted by chunk and shard: a chunk's texts, then the levels of its n-grams in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, unpack = model.value, zstandard.ZstdDecompressor()
+
+        def made(packed: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+            rows = pa.ipc.open_stream(unpack.decompress(packed)).read_next_batch()
+            held = [_asked(*tokens(words, bounds)[:2]) for _, words, bounds in word_hashes(encode(rows.column(2).to_pylist()), True)]
+            keys, level = np.unique(np.concatenate(held)), np.concatenate([_large(a, np.uint8) for a in answers]).astype(np.int64)
+            assert len(keys) == len(level), "levels of a chunk are missing"
+            yield _scored(m, rows, lambda wanted: level[np.searchsorted(keys, wanted)])
+
+        now, packed, answers = None, b"", []
+        for batch in batches:
+            for chunk, shard, data in zip(*(batch.column(c) for c in ("chunk", "shard", "data")), strict=True):
+                if chunk.as_py() != now:
+                    if now is not None:
+                        yield from made(packed, answers)
+                    now, answers = chunk.as_py(), []
+                if shard.as_py() < 0:
+                    packed = data.as_py()
                 else:
-                    c = np.zeros(len(u), np.int64)
-                out[1].append(np.add.reduceat((c > 0)[inv].astype(np.int64), first))
-                out[2].append(np.add.reduceat(np.log10((c + 0.5) / norm)[inv], first))
-                out[3].append(np.add.reduceat(np.log10(p), first))
-            n = batch.num_rows
-            cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            known = [pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float))] if exact else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0].astype(np.int64)), *known, pa.array(cols[3].astype(float)), batch.column(2)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "text"])
+                    answers.append(data.as_py())
+        if now is not None:
+            yield from made(packed, answers)
 
     return run
 
@@ -205,7 +355,7 @@ def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["hash", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(opened(keys).view(np.int64)), pa.array(_large(counts, np.int64))], ["hash", "c"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +369,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, ws: Workspace, weight: float = 0.5, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def score(docs: DataFrame, ws: Workspace, weight: float = 0.5, most_broadcast: int = MOST_BROADCAST, most_filter: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text).
 
     Training rows are those whose crc32 of the id as text leaves a remainder other than 1 by 5; a null id trains. Texts are
@@ -229,18 +379,23 @@ def score(docs: DataFrame, ws: Workspace, weight: float = 0.5, most_broadcast: i
     Other columns are ignored; no rows, no result.
     """
     spark = docs.sparkSession
+    most_filter = FILTER_BYTES if most_filter is None else most_filter
     rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(8, (4 * n - 1).bit_length())
     sent = rows.filter("not held_out").select("text").mapInArrow(_gather(buckets), "kind int, bucket int, keys binary, counts binary")
-    counted = ws.save(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_summed, "kind int, bucket int, keys binary, counts binary, n_keys bigint, total bigint, entries bigint"), "counts")
-    facts = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n_keys").alias("keys"), F.sum("total").alias("total"), F.sum("entries").alias("entries")).collect()}
+    counted = ws.save(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_summed, "kind int, bucket int, keys binary, counts binary, n_keys bigint, total bigint, entries bigint, top int"), "counts")
+    facts = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n_keys").alias("keys"), F.sum("total").alias("total"), F.sum("entries").alias("entries"), F.max("top").alias("top")).collect()}
     vocabulary, total = (facts[1]["keys"], facts[1]["total"]) if 1 in facts else (0, 0)
     trained = rows.filter("not held_out").count()
-    begin = spark.createDataFrame([(1, 0, bytearray(np.array([BEGIN], _U).tobytes()), bytearray(np.array([trained], np.int64).tobytes()))], "kind int, bucket int, keys binary, counts binary")
-    keys = counted.select("kind", "bucket", "keys", "counts").unionByName(begin).mapInArrow(_level_keys, "key bigint")
-    blocks, size = bloom.build(keys, sum(f["entries"] for f in facts.values()) + 60, FILTER_BYTES)
-    model = {"blocks": blocks, "size": size, "tokens": total, "vocabulary": vocabulary, "weight": weight, "keys": None, "counts": None}
+    begin = spark.createDataFrame([(1, 0, bytearray(packed(np.array([BEGIN], _U))), bytearray(_small(np.array([trained], np.int64))))], "kind int, bucket int, keys binary, counts binary")
+    ngrams = counted.select("kind", "bucket", "keys", "counts").unionByName(begin)
+    entries = sum(f["entries"] for f in facts.values()) + 60
+    top = max([int(level_of(np.array([trained]), 1)[0]), *(f["top"] for f in facts.values())])
+    size = bloom.block_bytes(entries, None)
+    whole = size << bloom.BLOCK_BITS <= most_filter
+    blocks = bloom.build(ngrams.mapInArrow(_level_keys, "key bigint"), entries, None)[0] if whole else None
+    model = {"blocks": blocks, "size": size, "top": top, "tokens": total, "vocabulary": vocabulary, "weight": weight, "keys": None, "counts": None}
     words = counted.filter("kind = 1").select("keys", "counts", "bucket", "n_keys")
     if vocabulary <= most_broadcast:
         # buckets are ranges of the hash, so the table is sorted once each stands in its place; one partition a time comes here
@@ -249,13 +404,22 @@ def score(docs: DataFrame, ws: Workspace, weight: float = 0.5, most_broadcast: i
             at[r["bucket"]], start = start, start + r["n_keys"]
         keys_, counts_ = bytearray(8 * start), bytearray(8 * start)
         for r in words.toLocalIterator():
-            begin, end = 8 * at[r["bucket"]], 8 * at[r["bucket"]] + len(r["keys"])
-            keys_[begin:end], counts_[begin:end] = r["keys"], r["counts"]
+            begin, end = 8 * at[r["bucket"]], 8 * (at[r["bucket"]] + r["n_keys"])
+            keys_[begin:end], counts_[begin:end] = opened(r["keys"]).tobytes(), _large(r["counts"], np.int64).tobytes()
         model |= {"keys": keys_, "counts": counts_}
     sent_model = spark.sparkContext.broadcast(model)
     del model
     fields = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = rows.mapInArrow(_scores(sent_model), fields + ", text string")
+    if whole:
+        scored = rows.mapInArrow(_scores(sent_model), fields + ", text string")
+    else:
+        bits = min(bloom.BLOCK_BITS, max(((size << bloom.BLOCK_BITS) // SHARD_BYTES).bit_length(), (4 * n - 1).bit_length()))
+        asking = "chunk bigint, shard int, block int, data binary"
+        asked = rows.mapInArrow(_ask(bits), asking)
+        parts = ngrams.mapInArrow(_parts(bits, size), asking)
+        there = asked.unionByName(parts).repartition(n, "shard").sortWithinPartitions("shard", "chunk")
+        back = there.mapInArrow(_answer(bits, size, top), "chunk bigint, shard int, data binary").repartition(n, "chunk").sortWithinPartitions("chunk", "shard")
+        scored = back.mapInArrow(_scores_by_chunk(sent_model), fields + ", text string")
     if vocabulary > most_broadcast:
         norm = total + 0.5 * (vocabulary + 1)
         c = words.select("keys", "counts").mapInArrow(_vocabulary_rows, "hash bigint, c bigint")

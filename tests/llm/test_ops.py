@@ -433,6 +433,37 @@ def test_lm_score(spark, docs, none, most):
     assert lm.score(none, Workspace(spark, "t")).count() == 0
 
 
+def test_lm_score_keeps_the_whole_corpus(spark, docs, none, monkeypatch):
+    r = random.Random(4)
+    many = spark.createDataFrame([(i, " ".join(f"v{r.randrange(3000)}" for _ in range(4000))) for i in range(60)], "doc_id bigint, text string")
+    for df in (docs, many):
+        score = lambda: sorted(lm.score(df, Workspace(spark, "t")).collect(), key=str)  # noqa: B023, E731
+        whole = score()
+        monkeypatch.setattr(lm, "FILTER_BYTES", 1 << 16)  # what is broadcast is bounded, what is kept is not
+        monkeypatch.setattr(lm, "ASKED", 3000)
+        assert score() == whole
+        monkeypatch.setattr(lm, "FILTER_BYTES", 0)
+        assert score() == whole
+        assert lm.score(df, Workspace(spark, "t"), most_broadcast=0).count() == len(whole)
+        monkeypatch.undo()
+    monkeypatch.setattr(lm, "FILTER_BYTES", 0)
+    assert lm.score(none, Workspace(spark, "t")).count() == 0
+
+
+def test_lm_score_levels_end(spark):
+    full = bloom.Bloom(np.full(64 << bloom.BLOCK_BITS, 255, np.uint8), 64)  # every probe is a hit
+    assert lm.levels(full, kernels.mix(np.arange(50, dtype=np.uint64)), 7).tolist() == [7] * 50
+
+
+def test_lm_score_knows_pairs_seen_once(spark):
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1)
+    data = [(i, f"a{k} b{k} c{k} d{k}") for k, i in enumerate(train)]
+    seen, new = "a1 b1 c1 d1", "a1 c1 b1 d1"
+    out = {r["text"]: r["score"] for t in (seen, new) for r in lm.score(spark.createDataFrame([*data, (held, t)], "doc_id bigint, text string"), Workspace(spark, "t")).filter("held_out").withColumn("text", F.lit(t)).collect()}
+    assert out[seen] > out[new] + 3
+
+
 def test_levels():
     counts = np.arange(1, 5000)
     for least in (1, 2):
