@@ -1,14 +1,16 @@
-"""Main text of web pages by differencing with the page of the nearest URL.
-
-A page is read into blocks (lines of text) in page order. Pages are ordered by host, path and id over the whole table (a range
-partitioned sort; neighbours across its boundaries are found by rank), so a host of any size is spread over all tasks. Each
-page is compared with the neighbours of its host that are nearest by path: their lines are aligned by longest common
-subsequence, and shared lines are template, to be deleted. Only hashes of lines travel for this.
-
-Two things are known better than by differencing. A neighbour whose article is the same (a copy of the page) says nothing
-about the template and is passed over. And lines inside an explicit <article> or <main> are the author's even where a
-neighbour repeats them, just as menus, footers, adverts, forms and comments marked as such are none of the article even where
-no neighbour shares them: the mark-up is checked after the differencing. Pages without such mark-up rest on the differencing.
+"""Main text of web pages by differencing with the pages of the nearest URLs.
+
+A page is read into blocks (lines of text) in page order. What HTML says is no text of the page (scripts, forms, menus,
+footers, asides, containers that carry an ARIA role or a class of their own for adverts, notices or comments) goes at once.
+All other lines are compared with those of the pages next to it by URL path in its host: pages are ordered by host and path
+over the whole table and numbered, so a host of any size is spread over all tasks, and each page is aligned with up to REACH
+distinct pages on each side by longest common subsequence. Pages of a host with the same lines are one page here, however many.
+
+A line shared with a neighbour is template, unless the neighbour is a copy of the page: leaving out what all of three or more
+neighbours share, the two have more than half of the page's rest in common. Template lines go. An explicit <article> or <main>
+is believed over this only where it holds at least as much text as the unshared lines outside it: then the lines outside go,
+and inside, where articles may share paragraphs, template is only what stands at the beginning or end and is shared with
+two neighbours that are no copies. Otherwise the differencing decides every line.
 """
 
 from __future__ import annotations
@@ -25,21 +27,28 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.plans.ranking import numbered
+from pagewright.plans.skew import spread_join
 from pagewright.plans.workspace import Workspace
 
+#: Distinct pages on each side that a page is aligned with; pages of a chunk, which one task reads in turn.
+REACH, CHUNK = 4, 512
+#: Bits of rows that one alignment keeps.
+DIRECT_BITS = 1 << 24
+
 #: Elements by their part in a page.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas textarea select button head audio video map datalist".split())
 OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark what is not the article, fixed values.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices paywall popup "
-    "promo promoted promotion related recommended respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search replies".split()
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+#: Containers whose attributes are looked at: what is marked otherwise is text.
+CONTAINERS = frozenset("article aside center details div dl header main ol section table ul".split())
+#: ARIA roles, and whole tokens of class and id, of what is not the article, fixed values; for an <article> only comments count.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+READERS = frozenset("comment comments comment-list commentlist replies respond disqus_thread".split())
+TOKENS = READERS | frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie cookies cookie-banner footer header login menu modal nav navbar navigation newsletter notice paywall popup promo promotion related share sharing sidebar social sponsor sponsored toolbar widget".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+)>", re.S)
+_ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?=[\s=/]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _MAIN_ROLE = re.compile(r"\srole\s*=\s*[\"']?main\b", re.I)
 #: Elements whose start closes an open one of the same kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -50,19 +59,19 @@ INSIDE, OUT, OPEN = 1, 2, 0
 
 
 def _marked(name: str, attrs: str, inside: bool) -> bool:
-    """Whether class, id, role or hidden say that an element is not the article. Inside it, a header is the article's own; an
+    """Whether class, id, role or hidden say that a container is not the article. Inside it, a header is the article's own; an
     <article> is none only if it is a comment."""
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "main"):
-            said = MARKS.intersection(_WORD.findall(value))
-            if name == "article":
-                said &= {"comment", "comments", "replies"}
-            elif inside:
-                said -= {"header", "banner"}
-            if said:
+        if name not in CONTAINERS or name == "main":
+            continue
+        if key == "role" and name != "article" and value in ROLES and not (inside and value == "banner"):
+            return True
+        if key in ("class", "id"):
+            said = (READERS if name == "article" else TOKENS).intersection(value.split())
+            if said - {"header", "banner"} or (said and not inside):
                 return True
     return False
 
@@ -161,114 +170,165 @@ def place(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def _key(url: str | None, page: str | None) -> bytes:
-    h = xxhash.xxh3_128()
-    h.update(("u" + url if url is not None else "n").encode("utf-8", "surrogatepass"))
-    h.update(b"\0")
-    h.update((page or "").encode("utf-8", "surrogatepass"))
-    return h.digest()
+def _outline_of(url: str | None, found: list[tuple[str, int]]) -> tuple[str, str, bytes, bytes, bytes, bytes]:
+    """host, path, key, hashes, kinds and lengths of a page's lines (without those outside by mark-up)."""
+    host, path = place(url)
+    hashes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in found], np.uint64).tobytes()
+    kinds = bytes(k for _, k in found)
+    lengths = np.array([len(t) for t, _ in found], np.uint32).tobytes()
+    return host, path, xxhash.xxh3_128_digest(hashes + kinds + lengths), hashes, kinds, lengths
 
 
-def _hash_lines(found: list[tuple[str, int]]) -> bytes:
-    return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in found], np.uint64).tobytes()
+def _text_lines(page: str | None) -> list[tuple[str, int]]:
+    return [x for x in lines(page or "") if x[1] != OUT]
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, key, hashes of the lines and their kinds and lengths, of each page."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], []]
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = lines(page or "")
-            host, path = place(url)
-            for col, value in zip(cols, (host, path, _key(url, page), _hash_lines(found), bytes(k for _, k in found), np.array([len(t) for t, _ in found], np.uint32).tobytes()), strict=True):
-                col.append(value)
+        made = [_outline_of(url, found) for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (found := _text_lines(page))]
+        cols = list(zip(*made, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["host", "path", "key", "hashes", "kinds", "lengths"])
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which entries of a are in a longest common subsequence of a and b (the bit-parallel recurrence, read back by rows)."""
-    keep = np.zeros(len(a), bool)
-    common = set(a.tolist()) & set(b.tolist())
-    if not common:
-        return keep
-    ia = [i for i, x in enumerate(a.tolist()) if x in common]
-    jb = [j for j, x in enumerate(b.tolist()) if x in common]
-    x, y = a[ia].tolist(), b[jb].tolist()
-    where: dict[int, int] = {}
+def _lengths(x: list, y: list) -> int:
+    """The bit-parallel row of x against y: its zero bits count, column by column, the longest common subsequence."""
+    where: dict = {}
+    for j, v in enumerate(y):
+        where[v] = where.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x:
+        hit = row & where.get(v, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return row
+
+
+def _prefix_counts(row: int, n: int) -> np.ndarray:
+    """Zero bits among the first 0, 1 ... n bits of a row."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _matched(x: list, y: list) -> list[int]:
+    """Places of x in a longest common subsequence of x and y. Rows are kept for problems of up to DIRECT_BITS; greater ones
+    are cut in two where forward and backward lengths add up to the most, so memory is in proportion to the lines."""
+    if not x or not y:
+        return []
+    if len(x) == 1:
+        return [0] if x[0] in y else []
+    if len(x) * len(y) > DIRECT_BITS:
+        half = len(x) // 2
+        ahead = _prefix_counts(_lengths(x[:half], y), len(y))
+        behind = _prefix_counts(_lengths(x[half:][::-1], y[::-1]), len(y))[::-1]
+        cut = int(np.argmax(ahead + behind))
+        return _matched(x[:half], y[:cut]) + [half + i for i in _matched(x[half:], y[cut:])]
+    where: dict = {}
     for j, v in enumerate(y):
         where[v] = where.get(v, 0) | 1 << j
-    full, row, rows = (1 << len(y)) - 1, (1 << len(y)) - 1, []
+    full = (1 << len(y)) - 1
+    row, rows = full, []
     for v in x:
-        hit = row & where[v]
+        hit = row & where.get(v, 0)
         row = ((row + hit) | (row - hit)) & full
         rows.append(row)
-    j = len(y)
-    for i in range(len(x) - 1, -1, -1):  # a row's zero bits count the subsequence's length by columns
+    out, j = [], len(y)
+    for i in range(len(x) - 1, -1, -1):
         before = rows[i - 1] if i else full
         while j and (rows[i] >> (j - 1)) & 1:
             j -= 1
         if j and (before >> (j - 1)) & 1:  # the length at this column grows in this row: a match is here
-            keep[ia[i]] = True
+            out.append(i)
             j -= 1
+    return out[::-1]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which entries of a are in a longest common subsequence of a and b."""
+    keep = np.zeros(len(a), bool)
+    x, y = a.tolist(), b.tolist()
+    common = set(x) & set(y)
+    if common:
+        ia = [i for i, v in enumerate(x) if v in common]
+        keep[[ia[i] for i in _matched([x[i] for i in ia], [v for v in y if v in common])]] = True
     return keep
 
 
+def kept_lines(kinds: np.ndarray, lengths: np.ndarray, same: list[np.ndarray]) -> np.ndarray:
+    """Which lines of a page are its text, given what it shares with each of its neighbours."""
+    votes = np.zeros(len(kinds), np.int64)
+    frame = np.logical_and.reduce(same) if len(same) >= 3 else np.zeros(len(kinds), bool)
+    rest = int(lengths[~frame].sum())
+    for s in same:
+        if int(lengths[s & ~frame].sum()) * 2 <= rest:  # else a copy, which tells nothing about the template
+            votes += s
+    inside = kinds == INSIDE
+    if inside.any() and lengths[inside].sum() >= lengths[~inside & (votes == 0)].sum():
+        keep = inside.copy()
+        spots = np.flatnonzero(inside)
+        for way in (spots, spots[::-1]):
+            for i in way:
+                if votes[i] < 2:
+                    break
+                keep[i] = False
+        return keep if keep.any() else inside
+    return votes == 0
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key and the places of template lines, for a page and the neighbours before and after it (null: none in its host)."""
+    """host, key and, bit by bit, the lines kept of each page at home in its chunk; rows come sorted by chunk and rank."""
 
-    def read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["kinds"], np.uint8), np.frombuffer(row["lengths"], np.uint32)
+    def judged(i: int, held: list[dict]) -> tuple:
+        me = held[i]
+        own, kinds, lengths = np.frombuffer(me["hashes"], np.uint64), np.frombuffer(me["kinds"], np.uint8), np.frombuffer(me["lengths"], np.uint32).astype(np.int64)
+        near = [r for k, r in enumerate(held) if k != i and r["host"] == me["host"] and abs(r["rank"] - me["rank"]) <= REACH]
+        same = [shared(own, np.frombuffer(r["hashes"], np.uint64)) for r in near]
+        return me["host"], me["key"], np.packbits(kept_lines(kinds, lengths, same)).tobytes()
 
+    def emitted(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["host", "key", "kept"])
+
+    held: list[dict] = []  # rows of one chunk, the next to be judged at `at`
+    at = 0
     for batch in batches:
-        keys, marks = [], []
+        out = []
         for row in batch.to_pylist():
-            own, kinds, lengths = read(row["page"])
-            template = np.zeros(len(own), bool)
-            near = [n for n in (row["before"], row["after"]) if n is not None and n["host"] == row["page"]["host"]]
-            for other in sorted(near, key=lambda n: -_common(n["path"], row["page"]["path"])):
-                theirs, *_ = read(other)
-                same = shared(own, theirs)
-                body = kinds != OUT
-                if int(lengths[body & same].sum()) * 2 > int(lengths[body].sum()):
-                    continue  # the same article: no evidence of a template
-                template |= same
-            keys.append(row["page"]["key"])
-            marks.append(np.flatnonzero(template).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], ["key", "template"])
-
-
-def _common(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+            if held and held[0]["chunk"] != row["chunk"]:
+                out += [judged(i, held) for i in range(at, len(held)) if held[i]["home"]]
+                held, at = [], 0
+            held.append(row)
+            while len(held) - at > REACH:
+                if held[at]["home"]:
+                    out.append(judged(at, held))
+                at += 1
+            if at > REACH:
+                del held[: at - REACH]
+                at = REACH
+        yield emitted(out)
+    yield emitted([judged(i, held) for i in range(at, len(held)) if held[i]["home"]])
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, key, lines (packed for the shuffle) and their kinds: each page's blocks, those outside by mark-up empty."""
+    """page_id, url, host, key, lines (packed for the shuffle): each page's blocks without those outside by mark-up."""
     pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
-        keys, text, kinds = [], [], []
+        hosts, keys, text = [], [], []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found = lines(page or "")
-            keys.append(_key(url, page))
-            text.append(pack.compress("\n".join(t if k != OUT else "" for t, k in found).encode("utf-8", "surrogatepass")))
-            kinds.append(bytes(k for _, k in found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(text, pa.binary()), pa.array(kinds, pa.binary())], ["page_id", "url", "key", "lines", "kinds"])
+            host, _, key, *_ = _outline_of(url, found := _text_lines(page))
+            hosts.append(host)
+            keys.append(key)
+            text.append(pack.compress("\n".join(t for t, _ in found).encode("utf-8", "surrogatepass")) if found else b"")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), pa.array(text, pa.binary())], ["page_id", "url", "host", "key", "lines"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         texts = []
-        for joined, kinds, template in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "template")), strict=True):
-            found = unpack.decompress(joined).decode("utf-8", "surrogatepass").split("\n") if kinds else []
-            gone = set(np.frombuffer(template or b"", np.uint32).tolist())
-            explicit = INSIDE in kinds
-            # differencing decides what mark-up leaves open; with an explicit article, what is open is outside it
-            texts.append("\n".join(t for i, (t, k) in enumerate(zip(found, kinds, strict=True)) if k == INSIDE or (k == OPEN and not explicit and i not in gone)))
+        for packed, kept in zip(batch.column("lines").to_pylist(), batch.column("kept").to_pylist(), strict=True):
+            found = unpack.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if packed else []
+            stay = np.unpackbits(np.frombuffer(kept, np.uint8))[: len(found)] if found else ()
+            texts.append("\n".join(t for t, k in zip(found, stay, strict=True) if k))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -276,26 +336,22 @@ def extract(pages: DataFrame, ws: Workspace) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html; other columns are ignored).
 
     text is the article's blocks in page order, joined by newlines: character references decoded, white space inside a block
-    one space, trimmed; nothing else is dropped. Null or empty html gives an empty text. Rows of one url and html are one page
-    for the comparison, however often they stand or whatever their ids, and all get its text. A page whose URL cannot be read
-    is compared with others of that kind. Ties of host and path are in the order of the content's hash. No rows, no result.
+    one space, trimmed; nothing else is dropped. Null or empty html gives an empty text. Rows of one host and the same lines
+    are one page for the comparison, at the least of their paths, however many they are, and all get its text. A page whose
+    URL cannot be read is compared with others of that kind. Ties of host and path are in the order of the content's hash. No
+    rows, no result.
     """
-    spark = pages.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = pages.select("url", "html").mapInArrow(_outline, "host string, path string, key binary, hashes binary, kinds binary, lengths binary")
-    once = ws.save(made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("host", "path", "hashes", "kinds", "lengths"))), "outlines")
-    ranked = ws.save(once.repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("id", F.monotonically_increasing_id()), "ordered")
-    # the id after a partition's last one is the first of the next partition that has rows: a row a partition
-    spans = ranked.groupBy(F.shiftright("id", 33).alias("part")).agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("part").collect()
-    jumps = [(a["high"], b["low"]) for a, b in zip(spans, spans[1:], strict=False)]
-    links = F.create_map(*(F.lit(x).cast("bigint") for pair in jumps for x in pair)) if jumps else F.create_map().cast("map<bigint,bigint>")
-    backs = F.create_map(*(F.lit(x).cast("bigint") for a, b in jumps for x in (b, a))) if jumps else F.create_map().cast("map<bigint,bigint>")
-    page = F.struct("host", "path", "key", "hashes", "kinds", "lengths")
-    own = ranked.select("id", page.alias("page"))
-    before = own.select(F.coalesce(F.try_element_at(links, F.col("id")), F.col("id") + 1).alias("id"), F.col("page").alias("before"))
-    after = own.select(F.coalesce(F.try_element_at(backs, F.col("id")), F.col("id") - 1).alias("id"), F.col("page").alias("after"))
-    near = own.join(before, "id", "left").join(after, "id", "left").select("page", "before", "after")
-    template = ws.save(near.mapInArrow(_compare, "key binary, template binary"), "template")
-    blocks = pages.select("page_id", "url", "html").mapInArrow(_compact, "page_id bigint, url string, key binary, lines binary, kinds binary")
-    out = blocks.join(template, "key", "left").select("page_id", "url", "lines", "kinds", "template").mapInArrow(_finish, "page_id bigint, url string, text string")
+    once = ws.save(made.groupBy("host", "key").agg(F.min("path").alias("path"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("hashes", "kinds", "lengths"))), "outlines")
+    ranked = numbered(once.drop("n"), ["host", "path", "key"], "rank", ws)
+    chunk = F.floor(F.col("rank") / CHUNK).cast("bigint")
+    place_ = F.col("rank") % CHUNK
+    # a chunk's edge rows also go to the chunk beside it, where they are neighbours only
+    around = F.array_compact(F.array(F.lit(0), F.when(place_ < REACH, F.lit(-1)), F.when(place_ >= CHUNK - REACH, F.lit(1))))
+    dealt = ranked.withColumn("_by", F.explode(around)).withColumn("chunk", chunk + F.col("_by")).withColumn("home", F.col("_by") == 0)
+    near = dealt.select("chunk", "rank", "home", "host", "key", "hashes", "kinds", "lengths").repartition(n, "chunk").sortWithinPartitions("chunk", "rank")
+    judged = ws.save(near.mapInArrow(_compare, "host string, key binary, kept binary"), "judged")
+    blocks = pages.select("page_id", "url", "html").mapInArrow(_compact, "page_id bigint, url string, host string, key binary, lines binary")
+    out = spread_join(blocks, judged, ["host", "key"], once.select("host", "key", "n")).select("page_id", "url", "lines", "kept").mapInArrow(_finish, "page_id bigint, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
