@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables with the odd rows that real ones have."""
 
+import bisect
 import hashlib
 import html as html_lib
 import math
@@ -485,11 +486,91 @@ def test_binomial_tail(spark):
 def test_calibrated_cutoffs_reject_junk_only(spark):
     good = "plain words of good text in a row that goes on for a while {i}"
     junk = "###{i} $$$ &&& of %%% junk *** text ||| with <<< signs >>> all over the place"
-    data = [(i, (good if i % 10 else junk).format(i=i), "en") for i in range(6000)]
-    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(0, 6000)], "doc_id bigint, quality int")
+    data = [(i, (good if i % 10 else junk).format(i=i), ("en", None, "")[i % 3], i) for i in range(6000)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, kept int")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(0, 6000) if i // 10 % 2], "doc_id bigint, quality int")
     kept = {r["doc_id"] for r in quality.judge(df, labels, Workspace(spark, "t")).filter("kept").collect()}
     assert kept == {i for i in range(6000) if i % 10}
+    few = quality.judge(df, labels.filter("doc_id < 1000"), Workspace(spark, "t")).filter("kept").count()
+    assert few == 6000  # 150 good rows a stratum cannot certify a risk of 0.02
+
+
+def brute_cutoffs(data, labels, risk, delta):
+    """Cutoffs by stratum; data: id, stratum, values by rule, base_failed."""
+    told = defaultdict(set)
+    for i, q in labels:
+        if i is not None and q is not None:
+            told[i].add(q)
+    good, rest = defaultdict(list), defaultdict(list)
+    for i, s, values, failed in data:
+        if not failed:
+            q = told.get(i, {None})
+            q = None if len(q) > 1 else next(iter(q))
+            (good if q == 1 else rest)[s].append((values, q == 0))
+    out = {}
+    for s, held in good.items():
+        steps = []
+        for rule in ("symbols", "capitals", "word_length", "dup_lines"):
+            rows_ = [(v[rule], bad) for v, bad in rest[s]]
+            total, bads = len(rows_), sum(b for _, b in rows_)
+            if not bads:
+                continue
+            notches, seen, order = [], set(), sorted(v for v, _ in rows_)
+            for j, q in enumerate(quality.TAILS):
+                c = min(v for v in set(order) if total - bisect.bisect_right(order, v) <= q * total)
+                above = [b for v, b in rows_ if v > c]
+                if above and c not in seen:
+                    seen.add(c)
+                    base = bads / total
+                    notches.append((j, c, (sum(above) + quality.PRIOR * base) / ((len(above) + quality.PRIOR) * base)))
+            for k, (j, c, _) in enumerate(notches):
+                worth = max(x for *_, x in notches[k:])
+                if worth >= 1:
+                    steps.append((-worth, rule, j, c))
+        found = {}
+        for _, rule, _, c in sorted(steps):
+            tried = found | {rule: c}
+            n, k = len(held), sum(any(v[r] > x for r, x in tried.items()) for v, _ in held)
+            tail = sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) if k < n * risk else 1
+            if tail > delta / len(good):
+                break
+            found = tried
+        if found:
+            out[s] = found
+    return out
+
+
+def test_quality_verdicts_of_whole_table(spark, small):
+    """At this size every language has enough labels: cutoffs and verdicts agree with brute force, and hold on other labels."""
+    folder = small.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    data = {}
+    for r in docs.select("doc_id", "lang", "text").collect():
+        n, chars, symbols, dups, repeats = brute_quality(r["text"])
+        lines = sum(1 for x in (r["text"] or "").split("\n") if words(x))
+        capitals = sum("A" <= c <= "Z" for c in r["text"] or "")
+        values = {"symbols": 1000 * symbols // max(chars, 1), "capitals": 1000 * capitals // max(chars, 1), "word_length": 10 * chars // max(n, 1), "dup_lines": 1000 * dups // max(lines, 1)}
+        data[r["doc_id"]] = ("l" + r["lang"], values, n < 10 or 100 * repeats > 20 * n)
+    told = [(r["doc_id"], r["quality"]) for r in labels.collect()]
+    cuts = brute_cutoffs([(i, *x) for i, x in data.items()], told, quality.RISK, quality.DELTA)
+    assert len(cuts) == 4 and all("symbols" in c for c in cuts.values())
+    got = quality.judge(docs, labels, Workspace(spark, "t")).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {i: not (failed or any(v[r] > c for r, c in cuts[s].items())) for i, (s, v, failed) in data.items()}
+    # cutoffs from one half of the labels reject few good rows of the other one, and most bad rows
+    half = labels.filter("crc32(cast(doc_id as string)) % 2 = 0")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, half, Workspace(spark, "t")).collect()}
+    other = [(i, q) for i, q in told if zlib.crc32(str(i).encode()) % 2 and not data[i][2]]
+    good, bad = [i for i, q in other if q == 1], [i for i, q in other if q == 0 and data[i][0] == "len"]
+    assert sum(not kept[i] for i in good) <= 0.02 * len(good) and sum(not kept[i] for i in bad) > 0.8 * len(bad)
+
+
+def test_quality_stage_keeps_columns_of_any_name(spark):
+    text = "enough words stand in this text that no base rule can have a say in it"
+    names = ["kept", "base_failed", "_m", "_t", "_h", "_w", "_s", "_l", "row", "stratum", "cutoffs", "good", "values"]
+    df = spark.createDataFrame([(1, text, None, *range(13)), (2, None, "en", *range(13))], "doc_id bigint, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    got = quality.stage(spark, df, labels)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, text, None, *range(13))]
 
 
 @pytest.mark.parametrize("most", [0, 1 << 23])
