@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.binding import let
 from pagewright.plans.workspace import Workspace
 
 
@@ -47,6 +48,8 @@ MORE = [
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 
+#: Values of an array that are run through at a time.
+BLOCK = 256
 #: Candidate rows that may be broadcast.
 MOST_BROADCAST = 200_000
 #: Alternatives longer than this are cut back to the literals found so far: the query gets weaker, never wrong.
@@ -138,11 +141,23 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
 
 
+def _any_of(grams: list[str]) -> str:
+    """An expression that finds the next of some trigrams, written as a tree of their characters; matches may overlap."""
+    one = lambda c: re.escape(c) if not c.isalnum() else c
+    tree: dict[str, dict[str, str]] = {}
+    for g in grams:
+        tree.setdefault(g[0], {}).setdefault(g[1], "")
+        tree[g[0]][g[1]] += g[2]
+    ways = [one(a) + "(?:" + "|".join(one(b) + "[" + "".join(map(re.escape, last)) + "]" for b, last in sorted(rest.items())) + ")" for a, rest in sorted(tree.items())]
+    return "(?=[" + "".join(map(re.escape, sorted(tree))) + "])(?=(" + "|".join(ways) + "))"
+
+
 def index(texts: DataFrame, grams: list[str]) -> DataFrame:
-    """Postings (gram, key) of the texts (key, text): of those trigrams only that some query asks for."""
+    """Postings (gram, key) of the texts (key, text): of those trigrams only that some query asks for. A text is cut into them
+    in one pass."""
     # letters beyond ASCII whose lower case is ASCII can only add candidates
-    held = texts.withColumn("low", F.lower("text")).select("key", F.filter(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)), lambda g: g.isNotNull()).alias("grams"))
-    return held.select(F.explode("grams").alias("gram"), "key")
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(grams)), 1))
+    return texts.select(F.explode(held).alias("gram"), "key")
 
 
 def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
@@ -153,22 +168,42 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+def running(values: Column, op, zero: Column) -> Column:
+    """op over each prefix of an array of integers. Blocks of BLOCK are run through one by one, so the arrays that grow by
+    appending stay short."""
+
+    def along(array: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            at = op(acc["at"], x)
+            return F.struct(at.alias("at"), F.array_append(acc["out"], at).alias("out"))
+
+        return F.aggregate(array, first, add)["out"]
+
+    n = F.size(values)
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array().cast("array<array<int>>"))
+
+    def joined(parts: Column) -> Column:
+        ends = along(F.transform(parts, lambda p: F.aggregate(p, zero, op)), zero)
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, k: along(p, F.when(k > 0, F.get(e, k - 1)).otherwise(zero)))))
+
+    return let(blocks, joined)
+
+
 def spans(text: Column, rule: Rule) -> Column:
-    """Array of (begin, kind, end) of a rule's matches, leftmost first, none overlapping, failing ones dropped."""
+    """Array of (begin, end) of a rule's matches, leftmost first, none overlapping, failing ones dropped."""
     pattern = F.lit(rule.pattern)
-    begins = F.transform(F.split(text, rule.pattern, -1), F.length)
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     lengths = F.transform(F.regexp_extract_all(text, pattern, 0), F.length)
     counted = lengths if not rule.group else F.transform(F.regexp_extract_all(text, pattern, rule.group), F.length)
-    matches = F.arrays_zip(F.slice(begins, F.lit(1), F.size(lengths)).alias("gap"), lengths.alias("n"), counted.alias("counted"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int,counted:int>>").alias("out"))
+    matches = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(lengths)).alias("gap"), lengths.alias("n"), counted.alias("counted"))
 
-    def add(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + m["n"]
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("begin"), end.alias("end"), m["counted"].alias("counted"))).alias("out"))
+    def placed(m: Column) -> Column:
+        ends = running(F.transform(m, lambda x: x["gap"] + x["n"]), lambda a, x: a + x, F.lit(0))
+        return F.zip_with(m, ends, lambda x, end: F.struct((end - x["n"]).alias("begin"), end.alias("end"), x["counted"].alias("counted")))
 
-    found = F.aggregate(matches, start, add)["out"]
-    return F.transform(F.filter(found, lambda m: m["counted"] >= rule.least), lambda m: F.struct(m["begin"].alias("begin"), m["end"].alias("end")))
+    return F.transform(F.filter(let(matches, placed), lambda m: m["counted"] >= rule.least), lambda m: F.struct(m["begin"].alias("begin"), m["end"].alias("end")))
 
 
 def _of_rule(text: Column, rank: int, rule: Rule, base: bool, indexed: bool) -> Column:
@@ -181,24 +216,25 @@ def _of_rule(text: Column, rank: int, rule: Rule, base: bool, indexed: bool) ->
 
 
 def scan(docs: DataFrame, ws: Workspace, base: list[Rule] | None = None, more: list[Rule] | None = None) -> DataFrame:
-    """All columns of docs, and `found`: array of (begin, rank, kind, end, base) in order of place, then of the rules' list.
+    """row (all columns of docs, whatever their names), doc_id, text, found: array of (begin, rank, kind, end, base) in order of
+    place, then of the rules' list.
 
-    Rows hold doc_id and text. Matches of a rule do not overlap each other, those of different rules may. Places are code
-    points, end exclusive. Null and empty texts hold none. Repeated rows and null ids are scanned like any other. Columns of
-    docs may have any names but those that begin with two underscores. No rows, no result.
+    docs hold doc_id and text. Matches of a rule do not overlap each other, those of different rules may. Places are code
+    points, end exclusive. Null and empty texts hold none. Repeated rows and null ids are scanned like any other. No rows, no
+    result.
     """
     rules = [(r, True) for r in (BASE if base is None else base)] + [(r, False) for r in (MORE if more is None else more)]
     queries = {r.kind: trigram_query(r.pattern) for r, _ in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
-    marked = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__key", F.xxhash64("__text", F.length("__text")))
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", F.xxhash64(text, F.length(text)).alias("__key"))
     grams = sorted({g for q in indexed.values() for c in q for g in c})
-    postings = index(marked.select(F.col("__key").alias("key"), F.col("__text").alias("text")), grams)
+    postings = index(marked.select(F.col("__key").alias("key"), text.alias("text")), grams)
     hits = ws.save(candidates(postings, indexed).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds")), "candidates")
     # candidates are few; where they are not, texts are shuffled once to meet them
     joined = marked.join(F.broadcast(hits) if hits.count() <= MOST_BROADCAST else hits, "__key", "left")
-    text = F.col("__text")
     found = [_of_rule(text, rank, rule, is_base, rule.kind in indexed) for rank, (rule, is_base) in enumerate(rules)]
-    return joined.select(*docs.columns, F.sort_array(F.concat(*found)).alias("found"))
+    return joined.select("row", "doc_id", "text", F.sort_array(F.concat(*found)).alias("found"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -209,22 +245,25 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def mask(text: Column, found: Column, sign: str = "[SECRET]") -> Column:
-    """The text with each span of secrets, overlapping ones as one, replaced by a sign."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span of secrets, overlapping ones as one, replaced by a sign. found: sorted by begin."""
+
+    def cut(spans_: Column, reach: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+            return F.when(s["begin"] >= at, F.concat(text.substr(at + 1, s["begin"] - at), F.lit(sign))).otherwise("")
 
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["begin"] >= acc["at"]
-        kept = F.when(fresh, F.concat(acc["out"], text.substr(acc["at"] + 1, s["begin"] - acc["at"]), F.lit(sign))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
+        return F.concat(F.array_join(F.transform(spans_, piece), ""), text.substr(F.get(reach, F.size(reach) - 1) + 1, F.length(text)))
 
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, start, cut, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))))
+    reach = running(F.transform(found, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+    return F.when(F.size(found) == 0, text).otherwise(let(reach, lambda r: cut(found, r)))
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, secrets in their texts replaced by a sign and n_chars (if there is one) counted anew."""
-    scanned = scan(docs, Workspace(spark, "secrets-stage"))
-    out = scanned.withColumn("text", mask(F.col("text"), F.col("found")))
+    """The rows of docs, all columns, whatever their names, secrets in their texts replaced by a sign and n_chars (if there is
+    one) counted anew."""
+    masked = scan(docs, Workspace(spark, "secrets-stage")).withColumn("text", mask(F.col("text"), F.col("found")))
+    of = lambda c: F.col("row")[c]
+    counted = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        counted = F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        counted["n_chars"] = F.when(F.size("found") > 0, F.length("text")).otherwise(of("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return masked.select(*(counted.get(c, of(c)).alias(c) for c in docs.columns))
