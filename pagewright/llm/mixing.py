@@ -14,17 +14,21 @@ documents, however large, is spread over many tasks. The result depends on the r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.plans.ranking import numbered
+from pagewright.plans.skew import spread_join
 from pagewright.plans.workspace import Workspace
 
 COPIES = 3
 BUCKET = 256
-#: Rows of the table of sources, and of that of cells, that may be broadcast; beyond it, they are joined.
+#: Rows of the table of sources that may be broadcast; beyond it, it is joined.
 MOST_BROADCAST = 10_000
-MOST_CELLS = 200_000
 STEPS, TOLERANCE = 60, 1e-9
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -34,26 +38,26 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
+def targets(sources: DataFrame, ws: Workspace, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
     """source, source_size, target: shares of the whole size by weight, none above `copies` times its source's size.
 
-    sources: source, source_size, one row a source. Weights repeat along the sources by code point, null last. What a capped
-    source cannot take goes to the others by weight, again and again until none is above. A source is capped exactly if its
-    ratio of room to weight is below the level at which the rest shares, so one pass in the order of that ratio finds them
-    all. The table has a row a source, so it is one task's work.
+    sources: source, source_size, one row a source, however many. Weights repeat along the sources by code point, null last.
+    What a capped source cannot take goes to the others by weight, again and again until none is above: each time is one
+    aggregation over the sources, and a source that is capped stays so, since the others' level only rises.
     """
-    everything = Window.partitionBy(F.lit(0))
-    order = everything.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    ordered = sources.withColumn("_null", F.col("source").isNull()).withColumn("_code", F.coalesce(F.col("source"), F.lit("")).cast("binary"))
     listed = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = sources.withColumn("weight", F.element_at(listed, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    room = ranked.withColumn("room", F.col("source_size") * float(copies)).withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    ratio = everything.orderBy(F.col("room") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
-    before = ratio.rowsBetween(Window.unboundedPreceding, -1)
-    level = room.withColumn("taken", F.coalesce(F.sum("room").over(before), F.lit(0.0))).withColumn("left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    # the level if this source and all of greater ratio share what the sources before it leave
-    shared = level.withColumn("level", (F.col("total") - F.col("taken")) / F.col("left")).withColumn("open", F.col("room") >= F.col("level") * F.col("weight"))
-    final = F.min(F.when(F.col("open"), F.struct(F.col("taken").alias("at"), F.col("level").alias("level")))).over(everything)["level"]
-    return shared.withColumn("final", final).select("source", "source_size", F.least(F.col("room"), F.coalesce(F.col("final"), F.lit(0.0)) * F.col("weight")).alias("target"))
+    ranked = numbered(ordered, ["_null", "_code"], "_nth", ws).select("source", "source_size", F.element_at(listed, (F.col("_nth") % len(weights) + 1).cast("int")).alias("weight"), (F.col("source_size") * float(copies)).alias("room"))
+    ranked = ws.save(ranked, "weighted")
+    total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level, capped = -1.0, -1
+    while True:
+        full = F.col("room") < F.lit(level) * F.col("weight")
+        sums = ranked.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("room"))).alias("room"), F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
+        if sums["n"] == capped or not sums["weight"]:
+            break
+        level, capped = (total - (sums["room"] or 0.0)) / sums["weight"], sums["n"]
+    return ranked.select("source", "source_size", F.least(F.col("room"), F.lit(max(level, 0.0)) * F.col("weight")).alias("target"))
 
 
 def _multipliers(cells: DataFrame, goals: DataFrame, ws: Workspace, copies: int) -> DataFrame:
@@ -88,6 +92,25 @@ def _multipliers(cells: DataFrame, goals: DataFrame, ws: Workspace, copies: int)
     return state.select("source", "lam", "mean")
 
 
+def _whole_copies(copies: int):
+    """cell_copies of cells that come sorted by source and falling size: the whole number that brings the source's running
+    total nearest to the ideal one. A source's total is carried from batch to batch, so only a batch is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ideal, got = None, 0.0, 0
+        for batch in batches:
+            takes = []
+            for k, size, n, rate in zip(batch["k"], batch["size"], batch["n"], batch["rate"], strict=True):
+                if k != now:
+                    now, ideal, got = k, 0.0, 0
+                ideal += n * rate * size
+                takes.append(max(0, min(round((ideal - got) / size), n * copies)))
+                got += takes[-1] * size
+            yield batch.assign(cell_copies=takes)
+
+    return run
+
+
 def mix(docs: DataFrame, ws: Workspace, weights: tuple[float, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for each row of docs (doc_id, source, text).
 
@@ -98,27 +121,16 @@ def mix(docs: DataFrame, ws: Workspace, weights: tuple[float, ...] = WEIGHTS, co
     rows = ws.save(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")), "sizes")
     keyed = rows.withColumn("k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     cells = ws.save(keyed.groupBy("k", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")), "cells")
-    goals = ws.save(targets(cells.groupBy("k").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size")).drop("k"), weights, copies).withColumn("k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "targets")
+    goals = ws.save(targets(cells.groupBy("k").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size")).drop("k"), ws, weights, copies).withColumn("k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "targets")
     by_key = cells.filter("size > 0").select(F.col("k").alias("source"), "size", "n")
     lam = _multipliers(by_key, goals.select(F.col("k").alias("source"), "source_size", "target"), ws, copies).withColumnRenamed("source", "k")
     rated = cells.filter("size > 0").select("k", "size", "n").join(goals.select("k", "target"), "k").join(lam, "k")
-    full = F.col("target")
     rate = F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0))), F.lit(float(copies)))
     # a source's cells (one a distinct size) from the largest size on; the running total follows the ideal one
-    cell = F.struct((-F.col("size")).alias("order"), "size", "n", rate.alias("rate"))
-    listed = rated.groupBy("k").agg(F.sort_array(F.collect_list(cell)).alias("cells"), F.first(full).alias("target"))
-
-    def follow(acc: Column, c: Column) -> Column:
-        ideal = acc["ideal"] + c["n"] * c["rate"] * c["size"]
-        want = F.round((ideal - acc["got"]) / c["size"]).cast("bigint")
-        take = F.greatest(F.lit(0).cast("bigint"), F.least(want, c["n"] * copies))
-        return F.struct(ideal.alias("ideal"), (acc["got"] + take * c["size"]).alias("got"), F.array_append(acc["takes"], take).alias("takes"))
-
-    start = F.struct(F.lit(0.0).alias("ideal"), F.lit(0).cast("bigint").alias("got"), F.array().cast("array<bigint>").alias("takes"))
-    given = listed.select("k", F.explode(F.arrays_zip("cells", F.aggregate("cells", start, follow)["takes"].alias("takes"))).alias("z"))
-    given = ws.save(given.select("k", F.col("z.cells.size").alias("size"), F.col("z.cells.n").alias("n"), F.col("z.cells.rate").alias("rate"), F.col("z.takes").alias("cell_copies")), "cell-copies")
-    plan = F.broadcast(given) if given.count() <= MOST_CELLS else given
-    placed = keyed.join(plan, ["k", "size"], "left").withColumn("bucket", F.pmod("h", F.when(F.col("size") == 0, F.lit(1 << 20)).otherwise(F.ceil(F.coalesce("n", F.lit(1)) / BUCKET))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    along = rated.select("k", "size", "n", rate.alias("rate")).repartition(parts, "k").sortWithinPartitions("k", F.desc("size"))
+    given = ws.save(along.mapInPandas(_whole_copies(copies), "k string, size bigint, n bigint, rate double, cell_copies bigint"), "cell-copies")
+    placed = spread_join(keyed, given, ["k", "size"], cells.select("k", "size", "n")).withColumn("bucket", F.pmod("h", F.when(F.col("size") == 0, F.lit(1 << 20)).otherwise(F.ceil(F.coalesce("n", F.lit(1)) / BUCKET))))
     dealt = placed.repartition("k", "size", "bucket")
     inside = Window.partitionBy("k", "size", "bucket")
     members = F.count("*").over(inside)
