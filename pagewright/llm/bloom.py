@@ -22,13 +22,10 @@ MAX_BYTES = 1 << 25
 _U = np.uint64
 
 
-def block_bytes(keys: int, most: int | None = MAX_BYTES) -> int:
-    """Bytes of each block for so many keys: a power of two, within the bound for the whole filter (None: no bound)."""
-    want = max(keys, 1) * BITS_PER_KEY / 8 / (1 << BLOCK_BITS)
-    size = 64
-    while size < want and (most is None or (size << BLOCK_BITS) * 2 <= most):
-        size *= 2
-    return size
+def block_bytes(keys: int, most: int | None = MAX_BYTES, bits: int = BLOCK_BITS) -> int:
+    """Bytes of each of 2**bits blocks for so many keys, within the bound for the whole filter (None: no bound)."""
+    size = max(64, -(-keys * BITS_PER_KEY // (8 << bits)))
+    return size if most is None else min(size, most >> bits)
 
 
 def _spots(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -36,29 +33,29 @@ def _spots(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
     h = mix(keys * _U(0xA0761D6478BD642F) + _U(7))
     step = mix(h) | _U(1)
     for _ in range(PROBES):
-        yield h & _U(size * 8 - 1)
+        yield h % _U(size * 8)
         h = h + step
 
 
-def block_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> _U(64 - BLOCK_BITS)).astype(np.int64)
+def block_of(keys: np.ndarray, bits: int = BLOCK_BITS) -> np.ndarray:
+    return (keys >> _U(64 - bits)).astype(np.int64)
 
 
 class Bloom:
-    """blocks: bytes of all blocks, or of the consecutive ones from `first` on, one after another."""
+    """blocks: bytes of all 2**cut blocks, or of the consecutive ones from `first` on, one after another."""
 
-    def __init__(self, blocks: bytes | bytearray, size: int, first: int = 0):
-        self.bits, self.size, self.first = np.frombuffer(blocks, np.uint8), size, first
+    def __init__(self, blocks: bytes | bytearray, size: int, first: int = 0, cut: int = BLOCK_BITS):
+        self.bits, self.size, self.first, self.cut = np.frombuffer(blocks, np.uint8), size, first, cut
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key may be in the filter; probes of keys that already failed are not made."""
         out = np.ones(len(keys), bool)
         live = np.arange(len(keys))
-        base = (block_of(keys) - self.first) * self.size
+        base = (block_of(keys, self.cut) - self.first) * self.size
         h = mix(keys * _U(0xA0761D6478BD642F) + _U(7))
         step = mix(h) | _U(1)
         for _ in range(PROBES):
-            spot = h[live] & _U(self.size * 8 - 1)
+            spot = h[live] % _U(self.size * 8)
             byte = self.bits[base[live] + (spot >> _U(3)).astype(np.int64)]
             hit = (byte >> (spot & _U(7)).astype(np.uint8)) & 1 == 1
             out[live[~hit]] = False
