@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagewright import duck as d
 from pagewright.functions import page as p
@@ -246,6 +247,33 @@ def crawl_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.retry(crawl.crawl(*_site(spark), ws), ws)
 
 
+#: Pages of a host in the order of their ids, as a heap: page k links to pages 2 * k + 1 and 2 * k + 2, behind its own links.
+_HEAP = f"""n AS (SELECT page_id, html, {d.normal('url')} AS url, {_STATUS_SQL} AS http FROM pages WHERE {d.normal('url')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {d.normal('url')} ORDER BY page_id) = 1), h AS (SELECT *, regexp_extract(url, '^https?://[^/]*') AS site FROM n),
+ k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS k FROM h), o AS (SELECT *, {d.links('html', 'url')} AS own FROM k)"""
+
+
+@query(f"""WITH RECURSIVE {_HEAP}, f AS (SELECT o.*, own || CASE WHEN a.url IS NULL THEN [] ELSE [a.url] END || CASE WHEN b.url IS NULL THEN [] ELSE [b.url] END AS links FROM o LEFT JOIN k a ON a.site = o.site AND a.k = 2 * o.k + 1 LEFT JOIN k b ON b.site = o.site AND b.k = 2 * o.k + 2),
+ g AS (SELECT site, k, url, http, list_filter(links, lambda x, i: list_position(links, x) = i) AS links FROM f),
+ w(site, k, url, http, links, path) AS (SELECT site, k, url, http, links, [(row_number() OVER (ORDER BY url))::BIGINT] FROM g WHERE k = 0
+  UNION ALL SELECT c.site, c.k, c.url, c.http, c.links, w.path || [list_position(w.links, c.url)::BIGINT] FROM w JOIN g c ON c.site = w.site AND c.k IN (2 * w.k + 1, 2 * w.k + 2) WHERE w.http = 200),
+ e AS (SELECT dst AS url, path || [list_position(links, dst)::BIGINT] AS path FROM (SELECT links, path, unnest(links) AS dst FROM w WHERE http = 200) UNION ALL SELECT url, path FROM w WHERE k = 0),
+ m AS (SELECT url, min(struct_pack(n := len(path), path := path)) AS spot FROM e GROUP BY url)
+ SELECT m.url, CASE WHEN g.url IS NULL THEN 'failed' WHEN http = 200 THEN 'downloaded' WHEN http = 403 THEN 'skipped' ELSE 'failed' END AS status, CASE WHEN g.url IS NULL OR http IS NULL THEN 'request failed: ' || m.url WHEN http <> 200 THEN 'HTTP ' || http || ' for ' || m.url END AS reason, row_number() OVER (ORDER BY spot) - 1 AS enqueue_pos FROM m LEFT JOIN g ON g.url = m.url""")
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hosts of the pages crawled at once from the first page of each, over the pages' own links and a heap of added ones."""
+    ws = Workspace(spark, "crawl-pages")
+    own = derive.derive(_pages(spark, sf_dir), _own()).select("page_id", F.col("norm_url").alias("url"), "links", _status().alias("http")).filter("url is not null")
+    own = own.groupBy("url").agg(F.min_by(F.struct("page_id", "links", "http"), "page_id").alias("p")).select("url", "p.*")  # pages that differ in a fragment are one
+    site = F.regexp_extract("url", "^https?://[^/]*", 0)
+    pages = ws.save(own.withColumn("site", site).withColumn("k", F.row_number().over(Window.partitionBy(site).orderBy("page_id")) - 1), "pages")
+    child = pages.select("site", F.floor((F.col("k") - 1) / 2).alias("k"), F.struct("k", "url").alias("child")).filter("child.k > 0").groupBy("site", "k").agg(F.transform(F.sort_array(F.collect_list("child")), lambda c: c["url"]).alias("more"))
+    linked = pages.join(child, ["site", "k"], "left").select("url", F.posexplode(F.array_distinct(F.concat("links", F.coalesce("more", F.array().cast("array<string>"))))).alias("pos", "dst"))
+    starts = numbered(pages.filter("k = 0").select("url"), ["url"], "enqueue_pos", ws)
+    state = starts.select("url", F.lit("queued").alias("status"), F.lit(None).cast("string").alias("reason"), "enqueue_pos")
+    responses = pages.select("url", F.col("http").alias("status"), F.lit(None).cast("string").alias("error"))
+    return crawl.crawl(state, responses, linked.withColumnRenamed("url", "src"), ws)
+
+
 @query(f"SELECT url, {d.host('url')} AS host FROM pages WHERE {d.host('url')} <> 'blog.tionsh.example.com'")
 def state_scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.check_scope(table(spark, sf_dir, "pages", "url"), "blog.tionsh.example.com")
@@ -276,11 +304,42 @@ _BODIES = [("CFF0E8E2E5F2", "text/html; charset=windows-1251", "windows-1251", "
 
 @query(values("body, charset, text", *((b, c, t) for b, _, c, t in _BODIES)))
 def charset_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for key, value in p.SESSION.items():
-        spark.conf.set(key, value)
     rows = spark.createDataFrame([r[:2] for r in _BODIES], "body string, content_type string")
     raw = F.unhex("body")
-    return rows.select("body", p.charset(raw, F.col("content_type")).alias("charset"), p.decoded(raw, F.col("content_type")).alias("text"))
+    with p.decoding(spark):
+        return rows.select("body", p.charset(raw, F.col("content_type")).alias("charset"), p.decoded(raw, F.col("content_type")).alias("text"))
+
+
+def _responses(pages: DataFrame) -> DataFrame:
+    """Responses of the pages: UTF-8 that only the page names, UTF-16 that the header names, and made-up statuses."""
+    wide = F.col("page_id") % 4 == 1
+    body = F.when(wide, F.encode("html", "UTF-16LE")).otherwise(F.encode("html", "UTF-8"))
+    return pages.select("page_id", "url", _status().alias("status"), F.when(wide, "text/html; charset=utf-16le").alias("content_type"), body.alias("body"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"""SELECT url, http AS status, ok, CASE WHEN ok THEN CASE WHEN page_id % 4 = 1 THEN 'UTF-16LE' ELSE 'UTF-8' END END AS charset, CASE WHEN ok THEN md5(html) END AS html_md5, CASE WHEN page_id % 4 = 1 THEN 'text/html; charset=utf-16le' END AS content_type
+ FROM (SELECT *, {_STATUS_SQL} AS http, coalesce({_STATUS_SQL} BETWEEN 200 AND 299, FALSE) AS ok FROM pages WHERE page_id % 5 <> 0) UNION ALL SELECT 'http://gone.test/', NULL, FALSE, NULL, NULL, NULL""")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frontier that meets its responses."""
+    responses = _responses(_pages(spark, sf_dir))
+    frontier = responses.filter("page_id % 5 != 0").select("url").unionByName(spark.createDataFrame([("http://gone.test/",)], "url string"))
+    got = derive.fetched(frontier, responses.drop("page_id"))
+    return got.select("url", "status", "ok", "charset", F.md5("html").alias("html_md5"), "content_type")
+
+
+@query(_MANIFEST.replace("text_chars, len(links)", "text_chars, md5(html) AS html_md5, len(links)") + " QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1")
+def page_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artefacts and manifest of every URL, written and read back."""
+    ws = Workspace(spark, "artefacts")
+    first = _pages(spark, sf_dir).groupBy(u.normalize(F.col("url"), *_own())).agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p"))
+    derived = ws.save(_derived(first.select("p.*")), "derived")
+    archive.write_artefacts(derived.withColumn("file_stem", F.concat("page_id", F.lit("/"), "file_stem")), f"{ws.root}/pages", zstd_level=3)
+    archive.write_manifest(derive.manifest(derived), f"{ws.root}/manifest")
+    saved = spark.read.parquet(f"{ws.root}/pages")
+    told = spark.read.schema("url string, title string, file_stem string, content_html string, markdown string, raw_html string, links_found bigint").json(f"{ws.root}/manifest")
+    md = F.decode(archive.unzstd(F.col("md")), "UTF-8")
+    rows = saved.select(F.split("file_stem", "/")[0].cast("bigint").alias("page_id"), F.col("norm_url").alias("url"), F.length(p.plain_body(md)).cast("bigint").alias("text_chars"), F.md5("html").alias("html_md5"))
+    return rows.join(told.select("url", "title", "file_stem", "links_found").distinct(), "url")
 
 
 _REFS = [("&amp;lt;", "&lt;"), ("a&nbsp;b", "a b"), ("&#1071;&#x42F;&eacute;&amp", "ЯЯé&amp"), ("&copy; &middot; &quot;", '© · "'), ("&unknown; &", "&unknown; &"), (None, None)]
@@ -289,7 +348,7 @@ _REFS = [("&amp;lt;", "&lt;"), ("a&nbsp;b", "a b"), ("&#1071;&#x42F;&eacute;&am
 @query(values("text, decoded", *_REFS) + f" UNION ALL SELECT html, {d.entities('html')} FROM pages")
 def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(x,) for x, _ in _REFS], "text string").unionByName(table(spark, sf_dir, "pages", "html").withColumnRenamed("html", "text"))
-    return rows.select("text", p.all_entities(F.col("text")).alias("decoded"))
+    return rows.select("text", p.entities(F.col("text")).alias("decoded"))
 
 
 @query(f"SELECT doc_id, md5({d.clean_ws('text')}) AS clean_md5, length({d.clean_ws('text')})::BIGINT AS n FROM documents")
@@ -314,11 +373,17 @@ def derazryadka_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMAGES = '<img src="/i/1.jpg" data-src="/i/2.png" srcset="s.jpg 1w, b.jpg 9w"><a href="/view/3">x</a><a href="/plain">y</a><source src="v.webp"><meta property="og:image" content="/og.jp2"><img src="data:image/png;base64,AA"><img src=" /i/1.jpg ">'
 
 
-@query(f"SELECT page_id, i::INTEGER - 1 AS pos, list[i] AS url FROM (SELECT page_id, list, unnest(range(1, 8)) AS i FROM (SELECT page_id, list_transform(['i/1.jpg', 'i/2.png', 'd/b.jpg', 'view/3', 'd/v.webp', 'og.jp2', 'i/9.bmp'], lambda x: {d.root('url')} || '/' || x) AS list FROM pages))")
+_ROOTED = lambda *names: "list_transform([" + ", ".join(map(_literal, names)) + f"], lambda x: {d.root('url')} || '/' || x)"
+
+
+@query(f"""WITH l AS (SELECT page_id, {_ROOTED('i/1.jpg', 'i/2.png', 'd/b.jpg')} || list_filter({d.rooted('html', 'url')}, lambda y: {d.image_like('y')}) || {_ROOTED('view/3', 'd/v.webp', 'og.jp2', 'i/9.bmp')} AS list FROM pages),
+ u AS (SELECT page_id, list_filter(list, lambda x, i: list_position(list, x) = i) AS list FROM l)
+ SELECT page_id, i::INTEGER - 1 AS pos, list[i] AS url FROM (SELECT page_id, list, unnest(range(1, len(list) + 1)) AS i FROM u)""")
 def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    """Images of every page, with marked-up ones of all kinds added to it."""
+    pages = _pages(spark, sf_dir)
     base = F.concat(u.scheme(F.col("url")), F.lit("://"), u.authority(F.col("url")), F.lit("/d/x"))
-    found = p.image_links(F.lit(_IMAGES + '<meta name="twitter:image" content="/i/9.bmp">'), base)
+    found = p.image_links(F.concat("html", F.lit(_IMAGES + '<meta name="twitter:image" content="/i/9.bmp">')), base)
     return pages.select("page_id", F.posexplode(found).alias("pos", "url"))
 
 

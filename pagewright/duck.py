@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: Fixed values of the other dialect: white space, suffixes of assets.
 _WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _ASSETS = "jpg|jpeg|png|gif|webp|svg|ico|css|js|mjs|pdf|djvu|zip|rar|7z|tar|gz|mp3|mp4|avi|mov|webm|woff|woff2|ttf|eot"
 
@@ -95,10 +96,17 @@ def plain(md: str) -> str:
     return clean_ws(f"CASE WHEN contains({md}, '---') THEN substr({md}, position('---' IN {md}) + 3) ELSE {md} END")
 
 
-def links(page: str, base: str) -> str:
-    """Root-relative targets only, the kind that the driver's pages have, in order and each once."""
+def rooted(page: str, base: str) -> str:
+    """Root-relative targets only, the kind that the driver's pages have, in order."""
     found = f"regexp_extract_all({bare(page)}, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1)"
     coded = "array_to_string(list_transform(string_split(split_part(h, '#', 1), ''), lambda c: CASE WHEN regexp_full_match(c, '[\\x00-\\x20\"<>`{}\\x{7F}-\\x{10FFFF}]') THEN regexp_replace(hex(c), '(..)', '%\\1', 'g') ELSE c END), '')"
-    rooted = f"list_transform(list_filter({found}, lambda h: starts_with(h, '/')), lambda h: {root(base)} || {coded})"
-    kept = f"list_filter({rooted}, lambda x: NOT regexp_matches(lower(regexp_replace(x, '\\?.*$', '')), '\\.({_ASSETS})$'))"
+    return f"list_transform(list_filter({found}, lambda h: starts_with(h, '/')), lambda h: {root(base)} || {coded})"
+
+
+def links(page: str, base: str) -> str:
+    kept = f"list_filter({rooted(page, base)}, lambda x: NOT regexp_matches(lower(regexp_replace(x, '\\?.*$', '')), '\\.({_ASSETS})$'))"
     return f"list_filter({kept}, lambda x, i: list_position({kept}, x) = i)"
+
+
+def image_like(url: str) -> str:
+    return f"(regexp_matches(lower({path(url)}), '\\.(jpg|jpeg|png|tif|tiff|webp|bmp|jp2)$|view|image|page') OR coalesce(contains(lower({query(url)}), 'image'), FALSE))"

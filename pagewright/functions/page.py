@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import json
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagewright.functions import text as tx
 from pagewright.functions import url as u
@@ -25,6 +28,22 @@ CHARSETS = {
 SESSION = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
 
 
+@contextmanager
+def decoding(spark: SparkSession) -> Iterator[None]:
+    """Settings that decoded() needs while its expression is made; the caller's own come back after it."""
+    before = {key: spark.conf.get(key, None) for key in SESSION}
+    for key, value in SESSION.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def _known(label: Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for kv in CHARSETS.items() for x in kv))
     return F.try_element_at(pairs, F.lower(F.trim(label)))
@@ -49,34 +68,44 @@ def charset(body: Column, content_type: Column) -> Column:
 
 
 def decoded(body: Column, content_type: Column) -> Column:
-    """Text of a body (needs SESSION); a byte order mark is dropped, malformed bytes become U+FFFD."""
+    """Text of a body (to be put into a plan inside decoding()); a byte order mark is dropped, malformed bytes become U+FFFD."""
     return F.regexp_replace(F.call_function("decode", body, charset(body, content_type)), "^\\uFEFF", "")
 
 
-@F.pandas_udf(T.StringType())
-def _all_entities(s: pd.Series) -> pd.Series:
-    import re
+#: Names that pages use most, fixed values.
+_COMMON = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "middot": "·", "copy": "©", "apos": "'", "laquo": "«", "raquo": "»", "mdash": "—", "ndash": "–", "hellip": "…"}
+_REFERENCE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+#: All named references, as one constant.
+_NAMES = json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}, ensure_ascii=True)
+
 
-    one = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
-    return s.map(lambda t: None if t is None else one.sub(lambda m: html.unescape(m[0]), t))
+def _character(reference: Column) -> Column:
+    """What one reference stands for; itself if the name is unknown. Numbers that are no character are U+FFFD, and those of the
+    C1 controls mean windows-1252, as browsers read them."""
+    body = F.substring(reference, 2, 1 << 30)
+    body = F.left(body, F.length(body) - 1)
+    digits = F.when(F.rlike(body, F.lit("^#[xX]")), F.conv(F.right(F.substring(body, 3, 1 << 30), F.lit(9)), 16, 10)).otherwise(F.conv(F.right(F.substring(body, 2, 1 << 30), F.lit(9)), 10, 10))
+    long = F.rlike(body, F.lit("^#(?:[xX]0*[1-9a-fA-F][0-9a-fA-F]{8,}|0*[1-9][0-9]{9,})$"))
 
+    def of(code: Column) -> Column:
+        windows = F.create_map(*(F.lit(x) for c in range(0x80, 0xA0) for x in (c, html.unescape(f"&#{c};"))))
+        bad = long | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return F.when(bad, F.lit("\ufffd")).when(code.between(0x80, 0x9F), F.try_element_at(windows, code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32"))
 
-_NATIVE = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "middot": "·", "copy": "©", "apos": "'", "laquo": "«", "raquo": "»", "mdash": "—", "ndash": "–", "hellip": "…"}
+    common = F.try_element_at(F.create_map(*(F.lit(x) for pair in _COMMON.items() for x in pair)), body)
+    named = F.try_element_at(F.from_json(F.lit(_NAMES), "map<string,string>"), body)
+    return F.when(F.startswith(body, F.lit("#")), let(digits.cast("int"), of)).otherwise(F.coalesce(common, named, reference))
 
 
 def entities(text: Column) -> Column:
-    """The common character references, in one pass: the ampersand's comes last, so &amp;lt; becomes &lt;."""
-    out = text
-    for name, ch in _NATIVE.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(ch))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """All named and numeric references that end in a semicolon, each read once. Texts without an & pass as they are, the
+    others are cut at their references."""
 
+    def read(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), 0), _character)
+        return F.array_join(F.zip_with(F.split(t, _REFERENCE, -1), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
 
-def all_entities(text: Column) -> Column:
-    """All named and numeric references that end in a semicolon. Rows with common ones only stay native; the others' go
-    through a worker, and only their values do."""
-    rare = F.rlike(text, F.lit("&(?!(?:" + "|".join([*_NATIVE, "amp"]) + ");)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"))
-    return F.when(rare, _all_entities(F.when(rare, text))).otherwise(entities(text))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), read(t)).otherwise(t))
 
 
 def bare(page: Column) -> Column:
@@ -87,17 +116,16 @@ def bare(page: Column) -> Column:
     return out
 
 
-def title(page: Column, references=entities) -> Column:
+def title(page: Column, clean: Column | None = None) -> Column:
     """Text of the first h1, else of the first title, that is not blank: inner tags become spaces, references are decoded twice
-    (once by the parser, once for pages that escape twice), white space is cleaned. Null without either."""
+    (once by the parser, once for pages that escape twice), white space is cleaned. Null without either. clean: bare(page), if
+    it is at hand."""
 
     def of(clean: Column, tag: str) -> Column:
         raw = F.regexp_extract(clean, f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>", 1)
-        return F.nullif(tx.clean_ws(references(references(F.regexp_replace(raw, "(?s)<[^>]+>", " ")))), F.lit(""))
+        return F.nullif(tx.clean_ws(entities(entities(F.regexp_replace(raw, "(?s)<[^>]+>", " ")))), F.lit(""))
 
-    if references is entities:
-        return let(bare(page), lambda clean: F.coalesce(of(clean, "h1"), of(clean, "title")))
-    return F.coalesce(of(bare(page), "h1"), of(bare(page), "title"))  # a worker's function cannot stand in a lambda
+    return let(bare(page) if clean is None else clean, lambda c: F.coalesce(of(c, "h1"), of(c, "title")))
 
 
 def main_content(page: Column) -> Column:
@@ -112,22 +140,47 @@ MARKS = [
     (r"(?i)<\s*h1\b[^>]*>", "\n# "), (r"(?i)<\s*/\s*h1\s*>", "\n\n"), (r"(?i)<\s*h2\b[^>]*>", "\n## "), (r"(?i)<\s*/\s*h2\s*>", "\n\n"), (r"(?i)<\s*h3\b[^>]*>", "\n### "), (r"(?i)<\s*/\s*h3\s*>", "\n\n"), (r"(?i)<\s*br\b[^>]*>", "\n"), (r"(?i)<\s*/\s*p\s*>", "\n\n"),
     (r"(?i)<\s*p\b[^>]*>", "\n\n"), (r"(?i)<\s*/\s*div\s*>", "\n"), (r"(?i)<\s*/\s*center\s*>", "\n"), (r"(?i)<\s*li\b[^>]*>", "\n- "), (r"(?i)</\s*tr\s*>", "\n"), (r"(?i)</\s*td\s*>", " | "),
 ]
-NOISE = [r"(?is)<!--.*?-->", *(rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in ("script", "style", "form", "iframe"))]
+#: Regions that go with their contents, in this order, fixed values.
+NOISE = [
+    "(?is)<!--.*?-->", "(?is)<script\\b[^>]*>.*?</script>", "(?is)<style\\b[^>]*>.*?</style>", "(?is)<form\\b[^>]*>.*?</form>", "(?is)<iframe\\b[^>]*>.*?</iframe>",
+]
+_TAG = "(?s)<[^>]+>"
+#: The same by the head of a tag: a slash if it ends one, and its name.
+_SIGNS = {("/" if "/" in pattern else "") + re.search(r"(?:\*|</\\s\*)(h[123]|br|p|div|center|li|tr|td)", pattern)[1]: sign for pattern, sign in MARKS}
+
+
+def _signed(s: Column) -> Column:
+    """Block tags become their signs, other tags a space. Each tag is looked up by its name in one pass; where a tag holds a <,
+    so that what is a tag depends on the order of the steps, the steps are taken one by one."""
 
+    def by_steps(t: Column) -> Column:
+        for pattern, sign in MARKS:
+            t = F.regexp_replace(t, pattern, sign)
+        return F.regexp_replace(t, _TAG, " ")
 
-def markdown_body(content: Column, references=entities) -> Column:
+    def by_name(t: Column, tags: Column) -> Column:
+        known = F.create_map(*(F.lit(x) for pair in _SIGNS.items() for x in pair))
+        head = lambda tag: F.lower(F.translate(F.regexp_extract(tag, "(?i)^<(\\s*(?:/\\s*)?[a-z0-9]+)\\b", 1), " \t\n\r\f\u000b", ""))
+        closed = lambda tag: ~F.startswith(F.ltrim(F.substring(tag, 2, 1 << 30)), F.lit("/")) | F.rlike(tag, F.lit("^<(?:/|\\s+/(?!\\s*(?i:tr|td)\\b))\\s*[A-Za-z0-9]+\\s*>$"))
+        signs = F.transform(tags, lambda tag: F.coalesce(F.when(closed(tag), F.try_element_at(known, head(tag))), F.lit(" ")))
+        return F.array_join(F.zip_with(F.split(t, _TAG, -1), signs, lambda gap, sign: F.concat(gap, F.coalesce(sign, F.lit("")))), "")
+
+    def judged(t: Column) -> Column:
+        return let(F.regexp_extract_all(t, F.lit(_TAG), 0), lambda tags: F.when(F.exists(tags, lambda g: F.contains(F.substring(g, 2, 1 << 30), F.lit("<"))), by_steps(t)).otherwise(by_name(t, tags)))
+
+    return let(s, judged)
+
+
+def markdown_body(content: Column) -> Column:
     """Markdown of a piece of a page: noise goes, block tags become line breaks and signs, other tags a space; then white space,
     letter spacing, initials and the space about punctuation are put right."""
     s = content
     for pattern in NOISE:
         s = F.regexp_replace(s, pattern, "")
-    for pattern, sign in MARKS:
-        s = F.regexp_replace(s, pattern, sign)
-    s = references(F.regexp_replace(s, "(?s)<[^>]+>", " "))
-    s = F.replace(s, F.lit("\r"), F.lit("\n"))
-    for pattern, sign in (("[ \\t]+", " "), ("[\\u00A0\\u202F]+", " "), ("\\n[ \\t]+", "\n"), ("\\n{3,}", "\n\n"), ("(?U)^\\s+|\\s+$", "")):
+    s = F.replace(entities(_signed(s)), F.lit("\r"), F.lit("\n"))
+    for pattern, sign in (("[ \\t]+", " "), ("[\\u00A0\\u202F]+", " "), ("\\n[ \\t]+", "\n"), ("\\n{3,}", "\n\n")):
         s = F.regexp_replace(s, pattern, sign)
-    s = tx.glue_initials(tx.despace(s))
+    s = tx.glue_initials(tx.despace(F.btrim(s, F.lit(tx.WHITE))))
     return F.regexp_replace(F.regexp_replace(s, " ([.,;:!?)\\]»”])", "$1"), "([(\\[«“]) ", "$1")
 
 
@@ -147,19 +200,19 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(F.rlike(tag, F.lit(pattern)), entities(value))
 
 
-def start_tags(page: Column, names: str) -> Column:
-    return F.regexp_extract_all(bare(page), F.lit(f"(?is)<(?:{names})(?=[\\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), 0)
+def start_tags(page: Column, names: str, clean: Column | None = None) -> Column:
+    return F.regexp_extract_all(bare(page) if clean is None else clean, F.lit(f"(?is)<(?:{names})(?=[\\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), 0)
 
 
-def hrefs(page: Column) -> Column:
+def hrefs(page: Column, clean: Column | None = None) -> Column:
     """Targets of a[href] in the order of the page, without in-page, mail and script ones."""
-    all_ = F.filter(F.transform(start_tags(page, "a"), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+    all_ = F.filter(F.transform(start_tags(page, "a", clean), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
     return F.filter(all_, lambda h: ~F.startswith(h, F.lit("#")) & ~F.startswith(h, F.lit("mailto:")) & ~F.startswith(h, F.lit("javascript:")))
 
 
-def links(page: Column, base: Column, scope: tuple[Column, Column, Column], excluded: tuple[str, ...] = ()) -> Column:
+def links(page: Column, base: Column, scope: tuple[Column, Column, Column], excluded: tuple[str, ...] = (), clean: Column | None = None) -> Column:
     """In-scope links of a page in normal form, each once, in order."""
-    found = F.transform(F.transform(hrefs(page), lambda h: u.resolve(base, h)), lambda x: u.normalize(x, *scope))
+    found = F.transform(F.transform(hrefs(page, clean), lambda h: u.resolve(base, h)), lambda x: u.normalize(x, *scope))
     kept = F.filter(found, lambda x: x.isNotNull())
     if excluded:
         kept = F.filter(kept, lambda x: u.excluded_by(x, excluded).isNull())

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.binding import let
 
+#: White space of all kinds, by its Unicode property; fixed values.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _A = "\\p{IsAlphabetic}"
 _MARK = "[\\u0300-\\u036F\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF\\uFE20-\\uFE2F]"
 _SPACE = "[ \\t\\u00A0\\u202F]"
@@ -15,6 +17,9 @@ _LETTER = f"{_A}{_MARK}*+"
 #: start inside a word, nor with the words и and о, which are left to stand alone.
 _PHRASE = f"(?<!{_A})(?![ИиОо](?!{_MARK})){_LETTER}(?!{_A})(?:{_SPACE}(?!{_SPACE}){_LETTER}(?!{_A})|{_SPACE}{{2,}}{_LETTER})++"
 
+#: Two letters that each stand alone, without which no phrase is long enough to be joined.
+_ALONE = f"{_SPACE}{_LETTER}{_SPACE}+{_LETTER}{_SPACE}"
+
 
 def clean_ws(text: Column) -> Column:
     """Runs of white space of any kind become one space; trimmed."""
@@ -46,11 +51,16 @@ def despace(text: Column) -> Column:
     def repaired(t: Column) -> Column:
         found = F.regexp_extract_all(t, F.lit(_PHRASE), 0)
         whole = F.array_join(F.zip_with(F.split(t, _PHRASE, -1), found, lambda b, p: F.concat(b, F.coalesce(_joined(p), F.lit("")))), "")
-        return F.when(F.rlike(t, F.lit(_PHRASE)), whole).otherwise(t)
+        return F.when(F.rlike(t, F.lit(_ALONE)), whole).otherwise(t)
 
     return let(text, repaired)
 
 
+#: A capital and the rest of its word, fixed values.
+_CAPITAL, _REST = "[А-ЯіІѢѲѴЁ]", "[а-яіѣѳѵъьё]"
+
+
 def glue_initials(text: Column) -> Column:
     """A capital set apart from its word (a drop cap in a tag of its own) joins it."""
-    return F.regexp_replace(text, "(?U)\\b([А-ЯіІѢѲѴЁ])[ \\t\\u00A0\\u202F]+([а-яіѣѳѵъьё])", "$1$2")
+    apart = f"({_CAPITAL}){_SPACE}+({_REST})"
+    return let(text, lambda t: F.when(F.rlike(t, F.lit(apart)), F.regexp_replace(t, f"(?U)\\b{apart}", "$1$2")).otherwise(t))

@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.binding import let
@@ -176,11 +178,13 @@ def own_scope(url: Column) -> tuple[Column, Column, Column]:
 
 
 def excluded_by(url: Column, patterns: tuple[str, ...]) -> Column:
-    """The first of the patterns that is found in the URL; null if none is. A pattern that does not compile fails here."""
+    """The first of the patterns that is found in the URL; null if none is. Patterns are compiled here, where they run, in the
+    JVM: one that does not compile fails at once."""
+    session = SparkSession.getActiveSession()
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error as e:
+            session._jvm.java.util.regex.Pattern.compile(p)
+        except (Py4JJavaError, IllegalArgumentException) as e:
             raise ValueError(f"bad exclusion pattern: {p}") from e
     return F.coalesce(*(F.when(F.rlike(url, F.lit(p)), F.lit(p)) for p in patterns), F.lit(None).cast("string"))
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions import url as u
-from pagewright.schemas import OBJECT_DATA
+from pagewright.functions.binding import let
+from pagewright.functions.page import attribute, start_tags
+from pagewright.schemas import IMAGE_INFO, OBJECT_DATA
 
 #: Settings of an embedded player, in the order in which its pages write them; a fixed format.
 _PLAYER = r'"iipServerURL"\s*:\s*"(.*?)"\s*,\s*"imageDir"\s*:\s*"(.*?)"\s*,\s*"objectData"\s*:\s*"(.*?)"'
@@ -31,6 +33,11 @@ def page_files(object_data: Column) -> Column:
     return F.transform(F.from_json(object_data, OBJECT_DATA, {"mode": "FAILFAST"})["pgs"], lambda p: p["f"])
 
 
+def image_info(body: Column) -> Column:
+    """(width, height) of an info.json; a broken one is null."""
+    return F.from_json(body, IMAGE_INFO)
+
+
 def info_url(iip: Column, image_dir: Column, file: Column) -> Column:
     return F.concat(iip, F.lit("?IIIF="), F.rtrim(image_dir, F.lit("/")), F.lit("/"), file, F.lit("/info.json"))
 
@@ -57,10 +64,11 @@ def safe_view_pages(page: Column, viewer: Column) -> Column:
     return F.when(text.isNotNull(), F.transform(numbers, lambda i: F.concat(base, F.translate(F.base64(F.encode(F.concat(text, F.lit("/"), i.cast("string")), "utf-8")), "/", "_"))))
 
 
-def viewer_link(anchors: Column, base: Column) -> Column:
-    """The first a.button-primary whose target holds /safe-view/. anchors: (tag's class, href) structs in order."""
+def viewer_link(page: Column, base: Column) -> Column:
+    """The first a.button-primary whose target holds /safe-view/; null without one."""
+    anchors = F.transform(start_tags(page, "a"), lambda t: F.struct(attribute(t, "class").alias("class"), attribute(t, "href").alias("href")))
     good = F.filter(anchors, lambda a: F.array_contains(F.split(F.coalesce(a["class"], F.lit("")), "\\s+"), "button-primary") & F.contains(a["href"], F.lit("/safe-view/")))
-    return u.resolve(base, F.get(good, F.lit(0))["href"])
+    return let(F.get(good, F.lit(0))["href"], lambda href: u.resolve(base, href))
 
 
 def is_library_page(url: Column) -> Column:

@@ -2,11 +2,13 @@
 
 A crawl is a loop over levels of the page graph. Each level is one set-oriented step: the frontier meets the responses, links
 of what was fetched are ordered by (place of the page, place of the link), links already seen go by an anti-join, the rest is
-the next frontier. State is written at each level, so lineage stays short and a lost executor repeats one level at most.
+the next frontier. Each level's outcomes are written, so lineage stays short and a lost executor repeats one level at most.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pagewright.functions import url as u
 from pagewright.plans.ranking import numbered
 from pagewright.plans.workspace import Workspace
 
+#: Levels whose tables are read side by side.
+MOST_PARTS = 32
 QUEUED, DONE, FAILED, SKIPPED = "queued", "downloaded", "failed", "skipped"
 
 
@@ -48,20 +52,31 @@ def retry(state: DataFrame, ws: Workspace, known: tuple[str, ...] = (DONE, QUEUE
     return state.filter(F.col("status") != FAILED).unionByName(back)
 
 
-def crawl(state: DataFrame, responses: DataFrame, edges: DataFrame, ws: Workspace, skip_status: tuple[int, ...] = (403,), exclude: tuple[str, ...] = (), limit: int | None = None, saved: DataFrame | None = None) -> DataFrame:
+def crawl(
+    state: DataFrame, responses: DataFrame, edges: DataFrame, ws: Workspace, skip_status: tuple[int, ...] = (403,), exclude: tuple[str, ...] = (), limit: int | None = None, saved: DataFrame | None = None, skip_failed: bool = False, redownload: bool = False,
+) -> DataFrame:
     """The state after a run: url, status, reason, enqueue_pos (order of the queue, 0 first, over all runs).
 
     state: as from seed_state or an earlier run; responses: url, status, error, one row a URL (a missing one is a failed
     request); edges: src, pos, dst, the links of the pages in order. saved: urls whose artefacts exist; they count as done and
     not against the limit. limit: new pages of this run; whoever is before the page that would exceed it keeps its outcome.
+    Queued URLs that an earlier row calls done or skipped (with skip_failed: or failed) leave the queue as they are; with
+    redownload they are fetched again, and so are saved ones. What is fetched replaces its earlier row.
+
+    Each level writes its own outcomes and the next queue only; what was seen is the union of those tables.
     """
-    now = ws.save(state.select("url", "status", "reason", "enqueue_pos"), "state")
+    first = ws.save(state.select("url", "status", "reason", "enqueue_pos"), "state")
+    if redownload:
+        saved = None
+    known_bad = F.lit(False) if redownload else F.col("status").isin(DONE, SKIPPED, *([FAILED] if skip_failed else []))
+    queue = ws.save(first.filter(F.col("status") == QUEUED).join(first.filter(known_bad).select("url"), "url", "left_anti"), "queue")
+    settled = [ws.save(first.filter(F.col("status") != QUEUED).join(queue.select("url"), "url", "left_anti"), "settled")]
+    top = first.agg(F.max("enqueue_pos")).first()[0] or 0
     room = limit
     while True:
-        queue = now.filter(F.col("status") == QUEUED)
         if queue.isEmpty() or room is not None and room <= 0 and saved is None:
             break
-        known = saved.select("url", F.lit(True).alias("saved")) if saved is not None else queue.select("url", F.lit(False).alias("saved"))
+        known = saved.select("url", F.lit(True).alias("saved")).distinct() if saved is not None else queue.select("url", F.lit(False).alias("saved"))
         met = queue.join(responses.select("url", F.col("status").alias("http"), "error"), "url", "left").join(known, "url", "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
         banned = u.excluded_by(F.col("url"), exclude)
         after = F.when(banned.isNotNull(), SKIPPED).when(F.col("saved"), DONE).otherwise(outcome(F.col("http"), skip_status))
@@ -76,20 +91,23 @@ def crawl(state: DataFrame, responses: DataFrame, edges: DataFrame, ws: Workspac
                 stays = F.lit(False) if cut is None else F.col("enqueue_pos") >= cut
                 judged = judged.withColumn("reason", F.when(~stays, F.col("reason"))).withColumn("new", F.when(~stays, F.col("new"))).withColumn("status", F.when(stays, QUEUED).otherwise(F.col("status")))
         judged = ws.save(judged.select("url", "status", "reason", "enqueue_pos", "new"), "level")
+        rows = judged.drop("new")
+        settled.append(rows.filter(F.col("status") != QUEUED))
+        stopped = rows.filter(F.col("status") == QUEUED)
         done = judged.filter(F.col("status") == DONE)
-        fresh = done.select(F.col("url").alias("src"), "enqueue_pos").join(edges, "src").groupBy("dst").agg(F.min(F.struct("enqueue_pos", "pos")).alias("at")).withColumnRenamed("dst", "url").join(now.select("url"), "url", "left_anti")
-        top = now.agg(F.max("enqueue_pos")).first()[0] or 0
+        seen = reduce(DataFrame.unionByName, (part.select("url") for part in (*settled, stopped)))
+        fresh = done.select(F.col("url").alias("src"), "enqueue_pos").join(edges, "src").groupBy("dst").agg(F.min(F.struct("enqueue_pos", "pos")).alias("at")).withColumnRenamed("dst", "url").join(seen, "url", "left_anti")
         placed = numbered(fresh.select("url", F.col("at.enqueue_pos").alias("page"), F.col("at.pos").alias("link")), ["page", "link"], "enqueue_pos", ws, top + 1)
         queued = placed.select("url", F.lit(QUEUED).alias("status"), F.lit(None).cast("string").alias("reason"), "enqueue_pos")
-        next_ = ws.save(now.filter(F.col("status") != QUEUED).unionByName(judged.drop("new")).unionByName(queued), "state")
-        stopped = room is not None and not judged.filter(F.col("status") == QUEUED).isEmpty()
+        queue = ws.save(stopped.unionByName(queued), "queue")
+        top += placed.count()
         if room is not None:
             room -= judged.filter((F.col("status") == DONE) & (F.col("new") == 1)).count()
-        ws.drop(now)
-        now = next_
-        if stopped:
-            break
-    return now
+            if not stopped.isEmpty():
+                break
+        if len(settled) >= MOST_PARTS:  # a plan of few parts; what is merged is written once in so many levels
+            settled = [ws.save(reduce(DataFrame.unionByName, settled), "settled")]
+    return reduce(DataFrame.unionByName, (*settled, queue))
 
 
 def progress(state: DataFrame, last_url: str | None = None) -> DataFrame:

@@ -10,15 +10,16 @@ from pagewright.functions import text as tx
 from pagewright.functions import url as u
 
 
-def derive(pages: DataFrame, scope: tuple[Column, Column, Column], exclude: tuple[str, ...] = (), sample_chars: int = 220, references=p.entities) -> DataFrame:
+def derive(pages: DataFrame, scope: tuple[Column, Column, Column], exclude: tuple[str, ...] = (), sample_chars: int = 220) -> DataFrame:
     """All columns of pages (url, html) and: norm_url, title, file_stem, content, md, plain, text_chars, sample, links.
 
     Columns that a query does not read are not computed."""
-    own = pages.withColumn("norm_url", u.normalize(F.col("url"), *scope))
-    named = own.withColumn("file_stem", u.page_stem(F.col("norm_url"))).withColumn("title", F.coalesce(p.title(F.col("html"), references), F.col("file_stem")))
-    marked = named.withColumn("content", p.main_content(F.col("html"))).withColumn("md", p.markdown(p.markdown_body(F.col("content"), references), F.col("title"), F.col("norm_url")))
+    # the page without comments, scripts and styles is a column of its own, so that title and links share it
+    own = pages.withColumn("norm_url", u.normalize(F.col("url"), *scope)).withColumn("_bare", p.bare(F.col("html")))
+    named = own.withColumn("file_stem", u.page_stem(F.col("norm_url"))).withColumn("title", F.coalesce(p.title(F.col("html"), F.col("_bare")), F.col("file_stem")))
+    marked = named.withColumn("content", p.main_content(F.col("html"))).withColumn("md", p.markdown(p.markdown_body(F.col("content")), F.col("title"), F.col("norm_url")))
     plain = marked.withColumn("plain", p.plain_body(F.col("md")))
-    return plain.withColumn("text_chars", F.length("plain").cast("bigint")).withColumn("sample", tx.sample(F.col("plain"), sample_chars)).withColumn("links", p.links(F.col("html"), F.col("norm_url"), scope, exclude))
+    return plain.withColumn("text_chars", F.length("plain").cast("bigint")).withColumn("sample", tx.sample(F.col("plain"), sample_chars)).withColumn("links", p.links(F.col("html"), F.col("norm_url"), scope, exclude, F.col("_bare"))).drop("_bare")
 
 
 def edges(derived: DataFrame) -> DataFrame:
@@ -35,6 +36,8 @@ def manifest(derived: DataFrame, raw_html: bool = True, content_html: bool = Tru
 
 
 def fetched(frontier: DataFrame, responses: DataFrame) -> DataFrame:
-    """The frontier with its responses: status, html (decoded), ok; no response: a failed request. Needs page.SESSION."""
-    got = frontier.join(responses, "url", "left")
-    return got.withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False))).withColumn("html", F.when(F.col("ok"), p.decoded(F.col("body"), F.col("content_type"))))
+    """The frontier with its responses (url, status, content_type, body, error): ok, and html, the decoded body of what is ok;
+    body and content_type stay as they came. No response: a failed request."""
+    got = frontier.join(responses, "url", "left").withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
+    with p.decoding(frontier.sparkSession):
+        return got.withColumn("charset", F.when(F.col("ok"), p.charset(F.col("body"), F.col("content_type")))).withColumn("html", F.when(F.col("ok"), p.decoded(F.col("body"), F.col("content_type"))))

@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and all of it runs on one machine, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir, else a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_FALLBACK).rstrip("/")
+    """The folder that the session names in spark.checkpoint.dir; on one machine, without it, a folder of our own."""
+    conf = spark.sparkContext.getConf()
+    if named := spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not conf.get("spark.master", "local").startswith("local") or conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return LOCAL_FALLBACK
 
 
 class Workspace:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -68,8 +71,24 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def write_state(state: DataFrame, folder: str) -> None:
+    """A crawl state as JSON lines, one a URL, in as many files as it has partitions; it replaces the earlier one whole."""
+    state.select("url", "status", "reason", "enqueue_pos").write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
+def load_state(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_state wrote."""
+    return spark.read.schema("url string, status string, reason string, enqueue_pos bigint").json(folder)
+
+
+#: URLs of a state that may become one document.
+MOST_DOCUMENT = 1_000_000
+
+
 def state_document(state: DataFrame) -> DataFrame:
-    """One row, `value`: the state as the compact JSON document of a checkpoint."""
+    """One row, `value`: a small state as the compact JSON document of a checkpoint, for exchange; greater ones are refused."""
+    if (n := state.count()) > MOST_DOCUMENT:
+        raise ValueError(f"a state of {n} URLs is too large for one document; see write_state")
     of = lambda s: F.collect_list(F.when(F.col("status") == s, F.struct("enqueue_pos", "url", "reason")))
     lists = state.agg(*(F.sort_array(of(s)).alias(s) for s in ("queued", "downloaded", "failed", "skipped")), F.sort_array(F.collect_list("url")).alias("seen"))
     urls = lambda c: F.transform(c, lambda r: r["url"])
@@ -86,10 +105,26 @@ def write_artefacts(derived: DataFrame, folder: str, kinds: tuple[str, ...] = ("
     """One row a page, partitioned by host: raw page, content and Markdown as columns; zstd: Markdown as frames."""
     from pagewright.functions import url as u
 
-    cols: list[Column] = [F.col(k) for k in kinds]
+    rows = derived.select(u.host(F.col("norm_url")).alias("host"), "norm_url", "file_stem", "title", *kinds)
     if zstd_level is not None and "md" in kinds:
-        cols = [zstd(zstd_level)(F.encode("md", "utf-8")).alias("md") if k == "md" else F.col(k) for k in kinds]
-    derived.select(u.host(F.col("norm_url")).alias("host"), "norm_url", "file_stem", "title", *cols).write.mode("append").partitionBy("host").option("compression", "zstd").parquet(folder)
+        rows = rows.withColumn("md", F.encode("md", "utf-8"))
+        rows = rows.mapInArrow(_packed("md", zstd_level), rows.schema)
+    rows.write.mode("append").partitionBy("host").option("compression", "zstd").parquet(folder)
+
+
+def _packed(column: str, level: int):
+    """Rows with a binary column as zstd frames."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        writer = zstandard.ZstdCompressor(level=level)
+        for batch in batches:
+            i = batch.schema.names.index(column)
+            frames = [None if b is None else writer.compress(b) for b in batch.column(i).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary()) if k == i else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    return run
 
 
 def latest(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Expressions and operators of the archive part on cases worked out by hand, and against small models in plain Python."""
 
+import hashlib
 import html.parser
 import json
 import random
@@ -200,3 +201,14 @@ def test_manifest_with_outputs_off(spark):
     on, off = derive.manifest(derived).first(), derive.manifest(derived, raw_html=False, content_html=False, zstd=True).first()
     assert tuple(on) == ("http://s.test/a/b", "T", "a.b", "content_html/a.b.html", "markdown/a.b.md", "raw/a.b.html", 0)
     assert tuple(off) == ("http://s.test/a/b", "T", "a.b", "", "markdown/a.b.md.zst", "", 0)
+
+
+def test_letter_spacing_of_a_whole_table(spark, small):
+    """Every document of the table by the scanner."""
+    from pagewright import catalogue
+
+    folder = small.replace("0.001", "0.01")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    for r in catalogue.derazryadka_documents(spark, folder).collect():
+        want = model_despace(texts[r["doc_id"]])
+        assert (r["repaired_md5"], r["changed"]) == (hashlib.md5(want.encode()).hexdigest(), want != texts[r["doc_id"]]), r["doc_id"]
