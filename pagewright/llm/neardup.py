@@ -22,6 +22,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagewright.llm import bloom
@@ -260,6 +261,12 @@ def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, percent: int
     each row its own component. Rows that repeat a doc_id with the same text are one document, and all of them say kept.
     A null doc_id never becomes a component_id unless all of the component's are null; kept is then true. No rows, no result.
     """
+    out = _judged(docs, ws, width, percent)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _judged(docs: DataFrame, ws: Workspace, width: int, percent: int) -> DataFrame:
+    """doc_id, key (of the text's words), n_shingles, component (a key), component_id for each row of docs."""
     features = ws.save(docs.select("doc_id", "text").mapInArrow(_features(width), "doc_id bigint, key binary, n_shingles bigint, signature binary"), "features")
     nodes = features.groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.max("signature").alias("signature"))
     rows = _tree_rows(nodes)
@@ -286,19 +293,32 @@ def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, percent: int
     whole = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), ws)
     grouped = nodes.select("key", "least").join(whole.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    places = ws.save(grouped.select("key", "component").join(least, "component").select("key", "component_id"), "places")
+    places = ws.save(grouped.select("key", "component").join(least, "component").select("key", "component", "component_id"), "places")
     out = features.select("doc_id", "key", "n_shingles").join(places, "key", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "key", "n_shingles", "component", own.alias("component_id"))
+
+
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [xxhash.xxh3_128_digest(words[bounds[d] : bounds[d + 1]].tobytes()) for _, words, bounds in word_hashes(encode(batch.column(1).to_pylist()), True) for d in range(len(bounds) - 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["row", "key"])
 
 
 def stage(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, of which one a component stays; of rows that repeat a doc_id one stays.
+    """The rows of docs, all columns, whatever their names, of which one a component stays.
 
-    A row without a doc_id cannot be told from others by it and stays.
-    """
+    The row that stays is judged by its id and its text: of the least id in the component the text whose key comes first, of
+    rows that repeat both the one whose columns' hash does. Rows that share an id but hold texts of different components all
+    stay, or go, by their own text; of wordless rows one an id stays. Rows without an id cannot be told from others by it and
+    stay."""
     ws = Workspace(spark, "neardup-stage")
-    verdict = near_duplicates(docs, ws, width, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"))
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    joined = docs.filter("doc_id is not null").join(verdict.filter("_kept").select("doc_id"), "doc_id", "left_semi")
-    return joined.withColumn("_row", once).filter("_row = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    verdict = ws.save(_judged(docs, ws, width, percent).filter("doc_id is not null and doc_id = component_id"), "verdict")
+    each = verdict.groupBy("doc_id", "component", "key").agg(F.count("*").alias("n"))
+    stays = ws.save(each.groupBy("doc_id", "component").agg(F.min(F.struct("key", "n")).alias("first")).select("doc_id", "first.key", "first.n"), "stays")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    keyed = packed.mapInArrow(_with_key, T.StructType([packed.schema["row"], T.StructField("key", T.BinaryType())])).withColumn("doc_id", F.col("row")["doc_id"])
+    once = keyed.join(stays.filter("n = 1"), ["doc_id", "key"], "left_semi").select("row")
+    again = keyed.join(stays.filter("n > 1"), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    without = packed.filter(F.col("row")["doc_id"].isNull()).select("row")
+    return once.unionByName(again).unionByName(without).select(*(F.col("row")[c].alias(c) for c in docs.columns))
