@@ -22,7 +22,6 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagewright.llm.kernels import encode, ngrams, word_hashes
 
