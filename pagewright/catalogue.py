@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright import duck as d
+from pagewright import schemas
 from pagewright.functions import page as p
 from pagewright.functions import text as tx
 from pagewright.functions import url as u
@@ -336,7 +337,7 @@ def page_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive.write_artefacts(derived.withColumn("file_stem", F.concat("page_id", F.lit("/"), "file_stem")), f"{ws.root}/pages", zstd_level=3)
     archive.write_manifest(derive.manifest(derived), f"{ws.root}/manifest")
     saved = spark.read.parquet(f"{ws.root}/pages")
-    told = spark.read.schema("url string, title string, file_stem string, content_html string, markdown string, raw_html string, links_found bigint").json(f"{ws.root}/manifest")
+    told = spark.read.schema(schemas.PAGE_MANIFEST).json(f"{ws.root}/manifest")
     md = F.decode(archive.unzstd(F.col("md")), "UTF-8")
     rows = saved.select(F.split("file_stem", "/")[0].cast("bigint").alias("page_id"), F.col("norm_url").alias("url"), F.length(p.plain_body(md)).cast("bigint").alias("text_chars"), F.md5("html").alias("html_md5"))
     return rows.join(told.select("url", "title", "file_stem", "links_found").distinct(), "url")

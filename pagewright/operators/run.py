@@ -58,7 +58,7 @@ def crawl_run(options: CrawlOptions, responses: DataFrame, ws: Workspace, state:
 
 def scan_seeds(options: ScanOptions, pages: DataFrame, documents: DataFrame, ws: Workspace, lines: DataFrame | None = None) -> DataFrame:
     """url, enqueue_pos: the queue of the scan archiver from all its kinds of seeds, in their order: library items, a player given
-    outright, image links of pages, a numeric template, a list (lines: pos, value; library pages in it are expanded), handles.
+    outright, image links of pages, a numeric template, a list (lines: pos, value, or the file that the options name; library pages in it are expanded), handles.
     pages: url, html; documents: url, body; captured ones."""
     spark = pages.sparkSession
     given = lambda urls: spark.createDataFrame(list(enumerate(urls)), "pos bigint, url string")
@@ -74,6 +74,8 @@ def scan_seeds(options: ScanOptions, pages: DataFrame, documents: DataFrame, ws:
         parts.append(asked.select("pos", F.posexplode(p.image_links(F.col("html"), F.col("url"))).alias("nth", "link")).select(at(2, F.array("pos", "nth")).alias("at"), F.col("link").alias("url")))
     if options.url_template is not None:
         parts.append(scan.template_urls(spark, options.url_template, options.first, options.last, options.pad).select(at(3, F.array("pos")).alias("at"), "url"))
+    if lines is None and options.url_list is not None:
+        lines = archive.list_lines(spark, options.url_list)
     if lines is not None:
         listed = scan.list_urls(lines)
         parts.append(listed.filter(~F.col("library")).select(at(4, F.array("pos")).alias("at"), "url"))

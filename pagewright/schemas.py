@@ -1,11 +1,7 @@
 """Explicit schemas of the records that the engine reads and writes, as DDL."""
 
 CRAWL_STATE = "queue ARRAY<STRING>, seen ARRAY<STRING>, downloaded ARRAY<STRING>, failed MAP<STRING,STRING>, skipped MAP<STRING,STRING>"
-URL_STATE = "url STRING, status STRING, reason STRING, enqueue_pos BIGINT, seen BOOLEAN"
+URL_STATE = "url STRING, status STRING, reason STRING, enqueue_pos BIGINT"
 PAGE_MANIFEST = "url STRING, title STRING, file_stem STRING, content_html STRING, markdown STRING, raw_html STRING, links_found BIGINT"
-SCAN_MANIFEST = "url STRING, file_stem STRING, jxl_path STRING, raw_path STRING, src_bytes BIGINT, jxl_bytes BIGINT, width BIGINT, height BIGINT, lossless BOOLEAN, distance FLOAT"
-PROGRESS = "downloaded BIGINT, queued BIGINT, seen BIGINT, failed BIGINT, skipped BIGINT, frontier_total BIGINT, frontier_percent DOUBLE, last_url STRING"
-RESPONSES = "url STRING, status INT, content_type STRING, body BINARY, error STRING"
 OBJECT_DATA = "pgs ARRAY<STRUCT<f: STRING>>"
 IMAGE_INFO = "width BIGINT, height BIGINT"
-RASTER = "width INT, height INT, data BINARY"

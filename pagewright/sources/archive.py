@@ -78,7 +78,7 @@ def write_state(state: DataFrame, folder: str) -> None:
 
 def load_state(spark: SparkSession, folder: str) -> DataFrame:
     """What write_state wrote."""
-    return spark.read.schema("url string, status string, reason string, enqueue_pos bigint").json(folder)
+    return spark.read.schema(schemas.URL_STATE).json(folder)
 
 
 #: URLs of a state that may become one document.

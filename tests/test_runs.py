@@ -132,7 +132,7 @@ def test_library_pages_lead_to_tasks(spark):
         scan.collection_items(E + "/handle/1/9", pages, Workspace(spark, "t"), levels=1)
 
 
-def test_scan_seeds_in_order(spark):
+def test_scan_seeds_in_order(spark, tmp_path):
     pages, documents = library(spark)
     lines = spark.createDataFrame([(0, "http://l.test/1.jpg"), (1, E + "/handle/1/10"), (2, "# no"), (3, "t/8.jpg")], "pos bigint, value string")
     shown = spark.createDataFrame([("http://p.test/x/", '<img src="a.png"><img src="b.jpg">')], "url string, html string")
@@ -141,6 +141,9 @@ def test_scan_seeds_in_order(spark):
     assert [r["url"] for r in got] == [*PLAYED, "http://p.test/x/a.png", "http://p.test/x/b.jpg", "t/8.jpg", "t/9.jpg", "http://l.test/1.jpg", *SAFE] and [r["enqueue_pos"] for r in got] == list(range(9))
     outright = ScanOptions(object_data="https://c.test/o.json", iip="i", image_dir="/q")
     assert [r["url"] for r in run.scan_seeds(outright, pages, documents, Workspace(spark, "t")).orderBy("enqueue_pos").collect()] == ["i?IIIF=/q/1.tif/info.json", "i?IIIF=/q/2.tif/info.json"]
+    (tmp_path / "list.txt").write_text("# urls\n http://l.test/2.jpg \n\nhttp://l.test/1.jpg\n")
+    listed = run.scan_seeds(ScanOptions(url_list=str(tmp_path / "list.txt")), pages, documents, Workspace(spark, "t"))
+    assert [r["url"] for r in listed.orderBy("enqueue_pos").collect()] == ["http://l.test/2.jpg", "http://l.test/1.jpg"]
     with pytest.raises(ValueError):
         run.scan_seeds(ScanOptions(), pages, documents, Workspace(spark, "t"))
 
