@@ -1,21 +1,24 @@
-"""Repeated passages removed from documents: relative factoring against an index of anchored reference blocks.
-
-A document is parsed against the corpus in factors. Its factors start from anchors: in each window of WINDOW words the first
-least hash of GRAM consecutive words is the window's anchor, so equal windows have equal anchors at equal places, wherever
-they stand. The words around one anchor that are ruled by it (its up to WINDOW - GRAM + 1 windows) are a reference block.
-Blocks that occur twice as a whole are factors without further work; where only a part of a block recurs (at the boundary of
-a factor), the block's single windows are looked up among the windows of all blocks with the same anchor. Factors of WINDOW
-words or more are the duplicate spans.
-
-Factoring every document against every block in turn, as relative Lempel-Ziv does for one collection, grows with the square
-of the corpus. Here a block meets only the blocks of its own anchor, through hash aggregation, so the work is in proportion
-to the text and a passage that thousands share is one aggregated row. A Bloom filter of the anchors that occur twice,
-bounded in size, keeps unique text out of the shuffle; its false positives only cost rows.
+"""Repeated passages removed from documents: a relative Lempel-Ziv parse against an index of anchored reference blocks.
+
+In each window of WINDOW words the first least hash of GRAM consecutive words is the window's anchor, so equal windows have
+equal anchors at equal places, wherever they stand. The words around one anchor that are ruled by it (its up to WINDOW - GRAM +
+1 windows) are a reference block, and the anchor is the index: a block of a document meets the blocks of its own anchor, of the
+whole corpus, and no others. Factoring every document against every block in turn grows with the square of the corpus; here
+the work is in proportion to the text, and a passage that thousands share is one row of the index.
+
+A document is parsed from left to right. Where a block stands at another place too, a factor begins: it runs on through the
+blocks that follow for as long as the same reference goes on with the same words, and of a block's references the one that
+goes on longer is taken. The first and the last place of a block stand for all of its places, so a factor may be cut shorter
+than the longest match; what it leaves begins the next factor one window further on, so no repeated window is lost. Factors
+have WINDOW words at least. At their boundaries, where only a part of a block recurs, the block's single windows are looked up
+among those of all blocks of the anchor. Factors and these windows are the duplicate spans.
+
+A Bloom filter of the anchors that occur twice, bounded in size, keeps unique text out of the shuffle; its false positives
+only cost rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import bloom
 from pagewright.llm.kernels import combine, encode, mix, ngrams, word_hashes
+from pagewright.plans.skew import spread_join
 from pagewright.plans.workspace import Workspace
 
 GRAM = 8
@@ -135,6 +139,31 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(wide[0]), pa.array(wide[1]), pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(at.astype(np.int32)), pa.array(wide[2])], ["anchor", "block", "hash", "nth", "n"])
 
 
+def factored(own: bytes, spans: list[dict], window: int) -> tuple[list[tuple], list[int]]:
+    """(factors, boundary windows) of the text of key own: factors are (first word, words, reference's key, its first word).
+    A place is no reference of its own, unless the text stands again elsewhere and has no other."""
+    whole, single = [], []
+    for s in spans:
+        first = s["place"] - s["low"]
+        if s["one"] is None:
+            single += [first + k for k in range(window) if (s["mask"] >> k) & 1]
+        else:
+            places = {(bytes(r["key"]), r["place"] - s["place"]) for r in (s["one"], s["other"])}
+            whole.append((first, first + s["mask"].bit_length() - 1, places - {(own, 0)} or places))
+    whole.sort(key=lambda b: b[:2])
+    out, i = [], 0
+    while i < len(whole):
+        first, last, live = whole[i]
+        i += 1
+        # references are texts and shifts: one that the next block, right behind this one, also has goes on
+        while i < len(whole) and whole[i][0] == last + 1 and (on := live & whole[i][2]):
+            last, live = whole[i][1], on
+            i += 1
+        key, shift = min(live)
+        out.append((first, last - first + window, key, first + shift))
+    return out, sorted(single)
+
+
 def _removed(window: int):
     """doc_id, text, n_words, n_removed and the kept words of each document, given its factors as packed spans."""
 
@@ -145,10 +174,10 @@ def _removed(window: int):
                 words = text.split()
                 if spans:
                     mark = np.zeros(len(words) + 1, np.int32)
-                    for s in spans:
-                        starts = s["place"] - s["low"] + np.flatnonzero([(s["mask"] >> k) & 1 for k in range(window)])
-                        np.add.at(mark, starts, 1)
-                        np.add.at(mark, starts + window, -1)
+                    factors, single = factored(text_key(text), spans, window)
+                    ends = [(f[0], f[0] + f[1]) for f in factors] + [(p, p + window) for p in single]
+                    np.add.at(mark, [b for b, _ in ends], 1)
+                    np.add.at(mark, [e for _, e in ends], -1)
                     keep = np.cumsum(mark)[:-1] == 0
                     n_removed.append(int(len(words) - keep.sum()))
                     kept_texts.append(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode("utf-8", "replace"))
@@ -161,14 +190,38 @@ def _removed(window: int):
     return run
 
 
+def _parsed(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_key", pa.binary()), ("ref_start", pa.int32())]))
+        for batch in batches:
+            both = [factored(key, spans, window) for key, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            named = [[dict(zip(("start", "words", "ref_key", "ref_start"), f, strict=True)) for f in factors] for factors, _ in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, shape), pa.array([b for _, b in both], pa.list_(pa.int32()))], ["key", "factors", "boundary_windows"])
+
+    return run
+
+
+def parsed(docs: DataFrame, ws: Workspace, window: int = 50) -> DataFrame:
+    """key (hash of the text), factors (start, words, ref_key, ref_start), boundary_windows (first words) of each text of docs
+    in which something recurs."""
+    shape = "key binary, factors array<struct<start:int,words:int,ref_key:binary,ref_start:int>>, boundary_windows array<int>"
+    return repeated_blocks(docs, ws, window).mapInArrow(_parsed(window), shape)
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [text_key(t) for t in encode(batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], ["doc_id", "text", "key"])
 
 
+def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in encode(batch.column(0).to_pylist())], pa.binary())], ["key"])
+
+
 def repeated_blocks(docs: DataFrame, ws: Workspace, window: int) -> DataFrame:
-    """key (hash of the text), spans: array of (place, low, mask), the windows of each text that start elsewhere too."""
+    """key (hash of the text), spans: array of (place, low, mask, one, other) of each text: the blocks whose windows start
+    elsewhere too. one, other: first and last place (key, place of the anchor) of a block that recurs whole, null elsewhere."""
     if not 1 <= window <= 60 + GRAM:
         raise ValueError("window must be 1 to 68 words")
     spark = docs.sparkSession
@@ -178,16 +231,16 @@ def repeated_blocks(docs: DataFrame, ws: Workspace, window: int) -> DataFrame:
     seen = ws.save(text.mapInArrow(_occurrences(window, twice), _BLOCK), "occurrences")
     twice.destroy()
     ws.drop(anchors)
-    each = ws.save(seen.groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.max("windows").alias("windows"), F.max("low").alias("low")), "blocks")
+    each = ws.save(seen.groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.max("windows").alias("windows"), F.max("low").alias("low"), F.min(F.struct("key", "place")).alias("one"), F.max(F.struct("key", "place")).alias("other")), "blocks")
     # where an anchor has several blocks and one of them occurs once, single windows decide; elsewhere whole blocks do
     mixed = each.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("anchor")
     single = ws.save(each.join(mixed, "anchor", "left_semi").select("anchor", "block", "windows", "low", "n").mapInArrow(_unpack, "anchor bigint, block bigint, hash bigint, nth int, n bigint"), "windows")
     again = single.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "hash")
-    parts = single.filter("n = 1").join(again, ["anchor", "hash"], "left_semi").groupBy("anchor", "block").agg(F.sum(F.expr("shiftleft(1L, nth)")).alias("mask"))
-    whole = each.filter("n > 1").select("anchor", "block", (F.expr("shiftleft(1L, cast(octet_length(windows) / 8 as int))") - 1).alias("mask"))
+    parts = single.filter("n = 1").join(again, ["anchor", "hash"], "left_semi").groupBy("anchor", "block").agg(F.sum(F.expr("shiftleft(1L, nth)")).alias("mask")).withColumns({c: F.lit(None).cast("struct<key:binary,place:int>") for c in ("one", "other")})
+    whole = each.filter("n > 1").select("anchor", "block", (F.expr("shiftleft(1L, cast(octet_length(windows) / 8 as int))") - 1).alias("mask"), "one", "other")
     masks = ws.save(whole.unionByName(parts), "masks")
-    spans = seen.select("anchor", "block", "key", "place", "low").join(masks, ["anchor", "block"])
-    return spans.groupBy("key").agg(F.collect_set(F.struct("place", "low", "mask")).alias("spans"))
+    spans = spread_join(seen.select("anchor", "block", "key", "place", "low"), masks, ["anchor", "block"], each.select("anchor", "block", "n"), "inner")
+    return spans.groupBy("key").agg(F.collect_set(F.struct("place", "low", "mask", "one", "other")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, ws: Workspace, window: int = 50) -> DataFrame:
@@ -198,11 +251,8 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = 50) -> DataFram
     windows are judged on the input. kept_text joins what stays by one space. Null and empty texts: no words, empty text.
     Rows that repeat another row, null doc_id or not, are other places: all their windows recur. No rows, no result.
     """
-    spans = repeated_blocks(docs, ws, window)
+    spans = ws.save(repeated_blocks(docs, ws, window), "spans")
+    copies = ws.save(docs.select("text").mapInArrow(_text_keys, "key binary").groupBy("key").agg(F.count("*").alias("n")), "copies")
     keyed = docs.select("doc_id", "text").mapInArrow(_keyed, "doc_id bigint, text string, key binary")
-    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
+    joined = spread_join(keyed, spans, ["key"], copies).select("doc_id", "text", "spans")
     return joined.mapInArrow(_removed(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
-
-
-def digest(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
