@@ -10,14 +10,15 @@ from pagewright.functions import text as tx
 from pagewright.functions import url as u
 
 
-def derive(pages: DataFrame, scope: tuple[Column, Column, Column], exclude: tuple[str, ...] = (), sample_chars: int = 220) -> DataFrame:
+def derive(pages: DataFrame, scope: tuple[Column, Column, Column], exclude: tuple[str, ...] = (), sample_chars: int = 220, script: str | None = None) -> DataFrame:
     """All columns of pages (url, html) and: norm_url, title, file_stem, content, md, plain, text_chars, sample, links.
+    script: the only one whose letter spacing is repaired; without it, that of all.
 
     Columns that a query does not read are not computed."""
     # the page without comments, scripts and styles is a column of its own, so that title and links share it
     own = pages.withColumn("norm_url", u.normalize(F.col("url"), *scope)).withColumn("_bare", p.bare(F.col("html")))
     named = own.withColumn("file_stem", u.page_stem(F.col("norm_url"))).withColumn("title", F.coalesce(p.title(F.col("html"), F.col("_bare")), F.col("file_stem")))
-    marked = named.withColumn("content", p.main_content(F.col("html"))).withColumn("md", p.markdown(p.markdown_body(F.col("content")), F.col("title"), F.col("norm_url")))
+    marked = named.withColumn("content", p.main_content(F.col("html"))).withColumn("md", p.markdown(p.markdown_body(F.col("content"), script), F.col("title"), F.col("norm_url")))
     plain = marked.withColumn("plain", p.plain_body(F.col("md")))
     return plain.withColumn("text_chars", F.length("plain").cast("bigint")).withColumn("sample", tx.sample(F.col("plain"), sample_chars)).withColumn("links", p.links(F.col("html"), F.col("norm_url"), scope, exclude, F.col("_bare"))).drop("_bare")
 

@@ -17,7 +17,8 @@ def page_stream(spark: SparkSession, folder: str, schema: str = PAGES, files_per
 
 
 def run_to_end(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, unique: tuple[str, ...] = ("url",)) -> int:
-    """Process all that is there, each key once over all runs, and append the results; returns the number of batches.
+    """Process all that is there, each key once over all runs (no key: each row once, and no state), and append the results;
+    returns the number of batches.
 
     A batch writes to a folder of its own number and overwrites it when it is repeated, so a crash between the write and the
     checkpoint leaves no duplicates. The keys' state has no watermark: captured pages have no event time."""
@@ -27,6 +28,7 @@ def run_to_end(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], o
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
         done.append(number)
 
-    query = stream.dropDuplicates(list(unique)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = stream.dropDuplicates(list(unique)) if unique else stream
+    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return len(done)

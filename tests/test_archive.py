@@ -77,6 +77,16 @@ def test_letter_spacing_against_a_scanner(spark):
         assert row["d"] == model_despace(data[row["i"]])
 
 
+def test_letter_spacing_of_one_script(spark):
+    """A phrase with a letter of the script is joined as without it, others stay."""
+    data = ["A A A A A A", "с л о в о", "с л o в о", "x y z w  с л о в о", "A B C D, с л о в о", "W o r t", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(data)], "i int, t string")
+    got = {r["i"]: (r["c"], r["a"]) for r in rows.select("i", text.despace(F.col("t"), text.CYRILLIC).alias("c"), text.despace(F.col("t")).alias("a")).collect()}
+    for i, t in enumerate(data):
+        whole = None if t is None else model_despace(t)
+        assert got[i] == ({0: t, 4: "A B C D, слово", 5: t}.get(i, whole), whole)
+
+
 def test_markdown_fragments(spark):
     for source, want in [("<p>О<b>к</b>оло  , да</p>", "Ок оло, да"), ("<ul><li>a<li>b</ul>", "- a\n- b"), ("<tr><td>1</td><td>2</td></tr>", "1 | 2 |"), ("x<script>y</script>z", "xz"), ("a<i>b</i>c", "a b c"), ("a\r\nb&nbsp; c", "a\n\nb  c"), ("( a ) « b »", "(a) «b»")]:
         assert one(spark, page.markdown_body(F.col("t")), t=source) == want

@@ -1,6 +1,8 @@
 """Every query of the catalogue that has an oracle agrees with it on the smallest tables."""
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pagewright import catalogue
@@ -37,6 +39,24 @@ def test_agrees_with_its_oracle(spark, small, duck, name):
     assert sorted([plain(r[c]) for c in cols] for r in df.collect()) == want
 
 
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """Pages of one URL captured several times, and words of single Latin letters."""
+    spam = "<h1>{0}</h1><p>" + "A " * 12 + "reeder d d d d  e e e, B b b b b</p><p>{0}</p><a href='/x'>x</a>"
+    urls = ["http://s.test/a", "http://s.test/a", "http://s.test/b#top", "http://s.test/b#top", "http://s.test/b", "https://t.test/", "http://s.test/a", "http://s.test/c?id=7"]
+    folder = tmp_path_factory.mktemp("odd")
+    rows = [{"page_id": i, "url": u, "html": spam.format(f"Page {i}").replace("'", '"')} for i, u in enumerate(urls)]
+    pq.write_table(pa.Table.from_pylist(rows), folder / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["stream_manifest"])
+def test_agrees_on_repeated_urls_and_single_letters(spark, odd, name):
+    test_agrees_with_its_oracle(spark, *odd, name)
+
+
 def test_queries_without_oracle_run(spark, small):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLES):
         assert catalogue.QUERIES[name](spark, small).count() > 0
