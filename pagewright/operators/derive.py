@@ -36,9 +36,10 @@ def manifest(derived: DataFrame, raw_html: bool = True, content_html: bool = Tru
     )
 
 
-def fetched(frontier: DataFrame, responses: DataFrame) -> DataFrame:
+def fetched(frontier: DataFrame, responses: DataFrame, on: tuple[str, ...] = ("url",)) -> DataFrame:
     """The frontier with its responses (url, status, content_type, body, error): ok, and html, the decoded body of what is ok;
-    body and content_type stay as they came. No response: a failed request."""
-    got = frontier.join(responses, "url", "left").withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
+    body and content_type stay as they came. No response: a failed request. on: what tells requests apart, in both tables;
+    more than the URL where one was captured several times, else each of its requests meets the responses of all."""
+    got = frontier.join(responses, list(on), "left").withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
     with p.decoding(frontier.sparkSession):
         return got.withColumn("charset", F.when(F.col("ok"), p.charset(F.col("body"), F.col("content_type")))).withColumn("html", F.when(F.col("ok"), p.decoded(F.col("body"), F.col("content_type"))))
