@@ -52,7 +52,7 @@ def odd(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["stream_manifest", "fetched_pages", "markdown_render", "offline_rebuild", "page_artefacts", "pages_manifest"])
+@pytest.mark.parametrize("name", ["stream_manifest", "fetched_pages", "markdown_render", "offline_rebuild", "page_artefacts", "pages_manifest", "plain_sample"])
 def test_agrees_on_repeated_urls_and_single_letters(spark, odd, name):
     test_agrees_with_its_oracle(spark, *odd, name)
 
