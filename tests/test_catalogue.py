@@ -57,6 +57,26 @@ def test_agrees_on_repeated_urls_and_single_letters(spark, odd, name):
     test_agrees_with_its_oracle(spark, *odd, name)
 
 
+@pytest.fixture(scope="module")
+def nameless(tmp_path_factory):
+    """Pages whose URL is missing or an asset, so that they have no normal form, among others."""
+    urls = ["http://s.test/a", None, "http://s.test/x.pdf", "http://t.test/y.PNG", "http://s.test/b", None, "http://s.test/a"]
+    return tables_of(tmp_path_factory.mktemp("nameless"), urls)
+
+
+def tables_of(folder, urls):
+    rows = [{"page_id": i, "url": u, "html": f"<h1>Page {i}</h1><p>text {i}</p><a href=\"/x\">x</a>"} for i, u in enumerate(urls)]
+    pq.write_table(pa.Table.from_pylist(rows), folder / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["page_artefacts"])
+def test_agrees_on_pages_without_a_normal_url(spark, nameless, name):
+    test_agrees_with_its_oracle(spark, *nameless, name)
+
+
 def test_queries_without_oracle_run(spark, small):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLES):
         assert catalogue.QUERIES[name](spark, small).count() > 0
