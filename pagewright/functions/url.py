@@ -157,13 +157,13 @@ def form_value(q: Column, name: str) -> Column:
 
 def normalize(url: Column, scope_host: Column, scope_root: Column, scope_prefix: Column) -> Column:
     """The page's identity within a scope: the scope's scheme and host, the path, the query without which it is another page
-    (index.php: its id alone), no fragment. Null outside the scope, and for assets."""
+    (index.php: its id alone), no fragment. Null outside the scope, for assets, and for what is no URL, whatever the scope."""
     parts = let(url, lambda x: F.struct(host(x).alias("host"), path(x).alias("path"), query(x).alias("query"), form_value(query(x), "id").alias("id")))
 
     def written(b: Column) -> Column:
         kept = F.when(F.endswith(b["path"], F.lit("/index.php")), F.when(F.trim(b["id"]) != "", F.concat(F.lit("id="), percent_encoded(b["id"], _QUERY_BAD)))).otherwise(b["query"])
         out = F.concat(F.rtrim(scope_root, F.lit("/")), b["path"], F.coalesce(F.concat(F.lit("?"), kept), F.lit("")))
-        return F.when((b["host"] == scope_host) & in_prefix(b["path"], scope_prefix) & ~is_asset(b["path"]), out)
+        return F.when((b["host"] != "") & (b["host"] == scope_host) & in_prefix(b["path"], scope_prefix) & ~is_asset(b["path"]), out)
 
     return let(parts, written)
 

@@ -77,6 +77,11 @@ def test_agrees_on_pages_without_a_normal_url(spark, nameless, name):
     test_agrees_with_its_oracle(spark, *nameless, name)
 
 
+@pytest.mark.parametrize("name", ["pages_manifest", "page_artefacts"])
+def test_agrees_on_what_is_no_url(spark, tmp_path, name):
+    test_agrees_with_its_oracle(spark, *tables_of(tmp_path, ["http://s.test/a", "", "ftp://s.test/a", "nonsense", "mailto:x@y", "HTTP://S.test/b"]), name)
+
+
 def test_queries_without_oracle_run(spark, small):
     for name in set(catalogue.QUERIES) - set(catalogue.ORACLES):
         assert catalogue.QUERIES[name](spark, small).count() > 0
